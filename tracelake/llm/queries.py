@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, exact_dedup, packing, simhash, token_files
+from tracelake.llm import bpe, exact_dedup, packing, pii, secrets, simhash, token_files
 from tracelake.llm.common import read_table, tokenizer_path
 
 
@@ -48,6 +48,18 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read_table(spark, sf_dir, "documents"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read_table(spark, sf_dir, "documents"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda x: x["kind"].isin(*secrets.BASE))
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict:
     return {
         "op1_token_files": op1_token_files,
@@ -55,6 +67,8 @@ def queries() -> dict:
         "op4_exact_dedup": op4_exact_dedup,
         "op7_bpe": op7_bpe,
         "op8_simhash": op8_simhash,
+        "op9_pii": op9_pii,
+        "op10_secrets": op10_secrets,
     }
 
 
