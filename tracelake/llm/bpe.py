@@ -2,8 +2,9 @@
 
 1. Each block (a task's texts, up to BLOCK_BYTES) explodes its texts into pre-tokens with positions and
    keeps each distinct word of the block once; the positions stay behind as word numbers.
-2. The words of all blocks are shuffled and sorted by word; each distinct word is encoded once, and
-   its ids go back to the blocks that asked for it. A word has at most one row a block.
+2. The words of all blocks are shuffled by their hash, so that all blocks' asking for a word meet in one
+   bucket. There each distinct word is encoded once and its ids go back to the blocks. A word goes out
+   at most once a block, however often it occurs; a shuffled row carries a block's words of one bucket.
 3. Each block puts the ids back by position.
 
 A block is found again by its partition and place there, so docs must deal its rows alike each time it
@@ -32,7 +33,8 @@ from tracelake.llm.common import partitions, texts
 from tracelake.llm.tokens import Places, slices, split_batch, spread
 
 BLOCK_BYTES, BLOCK_WORDS = 48 << 20, 2 << 20
-PLACE_BITS, CRC_BITS, ORDINAL_BITS = 22, 14, 6
+CRC_BITS, ORDINAL_BITS = 20, 8
+REMEMBERED = 1 << 20  # distinct words that a bucket's task holds at once
 OUT_BYTES = 8 << 20
 
 
@@ -42,6 +44,19 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, their low bytes first, compressed."""
+    import zstandard
+
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+
+
+def expanded(data: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 class Block:
     """Texts as numbers of the block's distinct words."""
 
@@ -49,12 +64,11 @@ class Block:
         self.words, self.codes, self.counts, self.doc_ids, self.bytes = Places(), [], [], [], 0
 
     def add(self, batch: pa.RecordBatch) -> None:
-        texts = batch.column("text").to_pylist()
-        pieces, counts = split_batch(texts)
+        pieces, counts = split_batch(batch.column("text").to_pylist())
         self.codes.append(np.fromiter(map(self.words.__getitem__, pieces), np.uint32, len(pieces)))
         self.counts.append(counts)
         self.doc_ids += batch.column("doc_id").to_pylist()
-        self.bytes += batch.get_total_buffer_size()
+        self.bytes += batch.nbytes
 
     def number(self, ordinal: int) -> int:
         if ordinal >> ORDINAL_BITS:
@@ -62,18 +76,12 @@ class Block:
         crc = zlib.crc32("\0".join(self.words).encode()) & ((1 << CRC_BITS) - 1)
         return ((TaskContext.get().partitionId() << ORDINAL_BITS) + ordinal << CRC_BITS) + crc
 
-    def packed(self) -> bytes:
-        """Word numbers by falling frequency, low bytes first, as zstandard compresses best."""
-        import zstandard
-
+    def dealt(self, n_buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """Words, their codes, their buckets, and the words in order of bucket and falling frequency."""
         codes = np.concatenate([np.zeros(0, np.uint32), *self.codes])
-        return zstandard.compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    import zstandard
-
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+        words = [w.encode() for w in self.words]
+        buckets = np.fromiter((zlib.crc32(w) % n_buckets for w in words), np.int64, len(words))
+        return words, codes, buckets, np.lexsort((-np.bincount(codes, minlength=len(words)), buckets))
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block]]:
@@ -88,85 +96,117 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block]]:
         yield block.number(ordinal), block
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for number, block in blocks(batches):
-        words = list(block.words)
-        for a in range(0, len(words), 50_000):
-            part = words[a : a + 50_000]
-            yield pa.RecordBatch.from_pydict({"word": part, "at": pa.array((number << PLACE_BITS) + np.arange(a, a + len(part)), pa.int64())})
+def asking(n_buckets: int):
+    """A row for each block and bucket that has words of it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
-def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for number, block in blocks(batches):
-        counts = np.concatenate(block.counts).tolist()
-        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([len(block.words)]), pa.array([block.doc_ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([block.packed()])], names=["block", "n_words", "doc_ids", "counts", "codes"])
+        for number, block in blocks(batches):
+            words, _, buckets, order = block.dealt(n_buckets)
+            cuts = np.flatnonzero(np.diff(buckets[order], prepend=-1, append=n_buckets))
+            for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+                part = [words[i] for i in order[a:b].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([int(buckets[order[a]])], pa.int32()), pa.array([number]), pa.array([squeezed(np.fromiter(map(len, part), np.int64, len(part)))]), pa.array([zstandard.compress(b"".join(part), 3)])], names=["bucket", "block", "lengths", "words"])
 
+    return run
 
-def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """doc_id, n_tokens, and ids as little-endian unsigned 32-bit integers."""
-    spark = docs.sparkSession
-    rows = texts(docs)
 
-    def word_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
-        import tiktoken
+def positions(n_buckets: int):
+    """A row for each block: its documents, their numbers of words, and the word numbers. Word number
+    i * n_buckets + b is place i of bucket b, so frequent words have low numbers."""
 
-        codec = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
-        last, ids = None, b""
-        for batch in batches:
-            out = []
-            for word in batch.column("word").to_pylist():
-                if word != last:
-                    last, ids = word, np.array(codec.encode_ordinary(word), "<u4").tobytes()
-                out.append(ids)
-            at = batch.column("at").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_pydict({"block": pa.array(at >> PLACE_BITS), "place": pa.array((at & ((1 << PLACE_BITS) - 1)).astype(np.int32)), "ids": pa.array(out, pa.binary())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, block in blocks(batches):
+            words, codes, buckets, order = block.dealt(n_buckets)
+            name = np.empty(len(words), np.int64)
+            name[order] = np.arange(len(words)) - np.searchsorted(buckets[order], buckets[order], "left")
+            name = name * n_buckets + buckets
+            counts = np.concatenate(block.counts).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([len(words)]), pa.array([block.doc_ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([squeezed(name[codes])])], names=["block", "n_words", "doc_ids", "counts", "codes"])
 
-    asked = rows.mapInArrow(_words, "word string, at long").repartition(partitions(spark), "word").sortWithinPartitions("word")
-    answers = asked.mapInArrow(word_ids, "block long, place int, ids binary")
-    payload = rows.mapInArrow(_payload, "block long, n_words long, doc_ids array<long>, counts array<int>, codes binary").withColumn("place", F.lit(-1))
+    return run
 
-    # A block's payload (place -1) comes first, then its words by place.
-    dealt = payload.unionByName(answers, allowMissingColumns=True).repartition(partitions(spark), "block").sortWithinPartitions("block", "place")
-    return dealt.mapInArrow(_rebuilt, "doc_id long, n_tokens long, ids binary")
 
+def answering(ranks_path: str):
+    """The ids of each row's words; a bucket's distinct words are encoded once."""
 
-def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    payload, words, lengths = None, [], []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import public_tokenizers
+        import tiktoken
+        import zstandard
 
-    def done() -> Iterator[pa.RecordBatch]:
-        if payload is None:
-            return
+        codec = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
+        known: dict[bytes, bytes] = {}
+        for batch in batches:
+            lengths, ids = [], []
+            for packed_lengths, packed in zip(batch.column("lengths").to_pylist(), batch.column("words").to_pylist()):
+                ends, data, got = np.cumsum(expanded(packed_lengths), dtype=np.int64).tolist(), zstandard.decompress(packed), []
+                if len(known) > REMEMBERED:
+                    known.clear()
+                for a, b in zip([0, *ends], ends):
+                    word = data[a:b]
+                    if (found := known.get(word)) is None:
+                        found = known[word] = np.array(codec.encode_ordinary(word.decode()), "<u4").tobytes()
+                    got.append(found)
+                lengths.append(squeezed(np.fromiter(map(len, got), np.int64, len(got)) // 4))
+                ids.append(squeezed(np.frombuffer(b"".join(got), "<u4")))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(lengths, pa.binary()), pa.array(ids, pa.binary())], names=["block", "bucket", "lengths", "ids"])
+
+    return run
+
+
+def rebuilding(n_buckets: int):
+    """For rows sorted by block and bucket, a block's positions (bucket -1) first: its documents' ids."""
+
+    def done(payload, answers) -> Iterator[pa.RecordBatch]:
         n_words, doc_ids, counts, codes = payload
-        if sum(map(len, lengths)) != n_words:
+        if sum(len(n) for _, n, _ in answers) != n_words:
             raise RuntimeError("a block's words differ between two reads of the documents")
-        n_ids = np.concatenate([np.zeros(0, np.int64), *lengths])
-        flat, ends = np.frombuffer(b"".join(words), "<u4"), np.cumsum(n_ids)
-        codes, at = unpacked(codes), 0
-        upto = np.concatenate([[0], np.cumsum(counts)])
-        a = 0
+        slots = n_buckets * max((len(n) for _, n, _ in answers), default=0)
+        starts, n_ids = np.zeros(slots, np.int64), np.zeros(slots, np.int64)
+        at = 0
+        for bucket, n, ids in answers:
+            n_ids[bucket : bucket + n_buckets * len(n) : n_buckets] = n
+            starts[bucket : bucket + n_buckets * len(n) : n_buckets] = at + np.cumsum(n) - n
+            at += len(ids)
+        flat = np.concatenate([np.zeros(0, "<u4"), *(ids for _, _, ids in answers)])
+        codes, upto, a = expanded(codes), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), 0
         while a < len(doc_ids):
-            b = max(a + 1, int(np.searchsorted(upto, upto[a] + OUT_BYTES // 4, "right")) - 1)
+            b = max(a + 1, int(np.searchsorted(upto, upto[a] + OUT_BYTES // 8, "right")) - 1)
             part = codes[upto[a] : upto[b]]
-            ids = spread(flat, ends[part] - n_ids[part], n_ids[part])
+            ids = spread(flat, starts[part], n_ids[part])
             cut = np.concatenate([[0], np.cumsum(n_ids[part])])[upto[a : b + 1] - upto[a]]
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids[a:b], pa.int64()), "n_tokens": pa.array(np.diff(cut)), "ids": pa.array([ids[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids[a:b], pa.int64()), "n_tokens": pa.array(np.diff(cut)), "ids": pa.array([ids[x:y].tobytes() for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())], pa.binary())})
             a = b
 
-    for batch in batches:
-        place = batch.column("place").to_numpy(zero_copy_only=False)
-        heads = set(np.flatnonzero(place == -1).tolist())
-        bounds = sorted(heads | {0, batch.num_rows})
-        for a, b in zip(bounds, bounds[1:]):
-            if a in heads:
-                yield from done()
-                payload, words, lengths = tuple(batch.column(k)[a].as_py() for k in ("n_words", "doc_ids", "counts", "codes")), [], []
-                a += 1
-            if b > a:
-                part = batch.column("ids").slice(a, b - a).to_pylist()
-                words.append(b"".join(part))
-                lengths.append(np.fromiter(map(len, part), np.int64, len(part)) // 4)
-    yield from done()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, payload, answers = None, None, []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                number, bucket = batch.column("block")[i].as_py(), batch.column("bucket")[i].as_py()
+                if number != block:
+                    if payload is not None:
+                        yield from done(payload, answers)
+                    if bucket != -1:
+                        raise RuntimeError("a block's words differ between two reads of the documents")
+                    block, payload, answers = number, tuple(batch.column(k)[i].as_py() for k in ("n_words", "doc_ids", "counts", "codes")), []
+                else:
+                    answers.append((bucket, expanded(batch.column("lengths")[i].as_py()).astype(np.int64), expanded(batch.column("ids")[i].as_py())))
+        if payload is not None:
+            yield from done(payload, answers)
+
+    return run
+
+
+def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
+    """doc_id, n_tokens, and ids as little-endian unsigned 32-bit integers."""
+    rows, n = texts(docs), partitions(docs.sparkSession)
+    asked = rows.mapInArrow(asking(n), "bucket int, block long, lengths binary, words binary").repartition(n, "bucket").sortWithinPartitions("bucket")
+    answers = asked.mapInArrow(answering(ranks_path), "block long, bucket int, lengths binary, ids binary")
+    payload = rows.mapInArrow(positions(n), "block long, n_words long, doc_ids array<long>, counts array<int>, codes binary").withColumn("bucket", F.lit(-1))
+    dealt = payload.unionByName(answers, allowMissingColumns=True).repartition(n, "block").sortWithinPartitions("block", "bucket")
+    return dealt.mapInArrow(rebuilding(n), "doc_id long, n_tokens long, ids binary")
 
 
 def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
