@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, exact_dedup, packing, pii, secrets, simhash, token_files
+from tracelake.llm import bpe, exact_dedup, language, nearest, packing, pii, quality, secrets, simhash, token_files
 from tracelake.llm.common import read_table, tokenizer_path
 
 
@@ -19,6 +19,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return nearest.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.decisions(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -37,6 +42,14 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(norm) AS text_sha2
 """
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict(read_table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = tokenizer_path("byte_bpe_multi_50k.tiktoken")
     decoded = bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents"), ranks), ranks)
@@ -64,7 +77,10 @@ def queries() -> dict:
     return {
         "op1_token_files": op1_token_files,
         "op2_packing": op2_packing,
+        "op3_nearest": op3_nearest,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_quality": op5_quality,
+        "op6_language": op6_language,
         "op7_bpe": op7_bpe,
         "op8_simhash": op8_simhash,
         "op9_pii": op9_pii,
