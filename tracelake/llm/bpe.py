@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import partitions, texts
 from tracelake.llm.tokens import Places, slices, split_batch, spread
 
-BLOCK_BYTES, BLOCK_WORDS = 48 << 20, 2 << 20
+BLOCK_BYTES, BLOCK_WORDS = 16 << 20, 1 << 20
 CRC_BITS, ORDINAL_BITS = 20, 8
-REMEMBERED = 1 << 20  # distinct words that a bucket's task holds at once
-OUT_BYTES = 8 << 20
+REMEMBERED = 200_000  # distinct words that a bucket's task holds at once
+OUT_BYTES = 4 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
