@@ -95,13 +95,16 @@ def keep_one(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """docs with one row of each group of equal texts; all columns stay."""
     kept = written(decisions(docs, capacity).where("kept").select(F.col("doc_id").alias("kept_id"), "key", "points", "repeats"), "dedup-kept")
     text = F.coalesce(docs["text"], F.lit(""))
-    alike = docs["doc_id"].cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64(normalised(text)) == F.col("key")) & (F.char_length(text) == F.col("points"))
-    once = docs.join(broadcast_if_small(kept.where("repeats = 1")), alike, "left_semi")
-    again = kept.where("repeats > 1")
+
+    def alike(side: DataFrame) -> Column:  # by the sides' own columns, whatever else docs has
+        return docs["doc_id"].cast("long").eqNullSafe(side["kept_id"]) & (F.xxhash64(normalised(text)) == side["key"]) & (F.char_length(text) == side["points"])
+
+    single, again = (broadcast_if_small(kept.where(x)) for x in ("repeats = 1", "repeats > 1"))
+    once = docs.join(single, alike(single), "left_semi")
     if again.isEmpty():
         return once
     # Rows alike in doc_id and text may differ in other columns: any of them stays.
-    more = docs.join(broadcast_if_small(again), alike, "left_semi")
+    more = docs.join(again, alike(again), "left_semi")
     key = F.xxhash64(normalised(F.coalesce(more["text"], F.lit(""))))
     whole = F.struct(*[more[c] for c in docs.columns])
     first = more.groupBy(more["doc_id"], key).agg(F.first(whole).alias("row"))

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import id_crc
@@ -104,21 +104,20 @@ def windows_of(data: bytes) -> np.ndarray:
     return out.reshape(n, WINDOW)
 
 
-def train(windows: np.ndarray, y: np.ndarray, n_langs: int, epochs: int = 6, batch: int = 64, rate: float = 0.004, seed: int = 11) -> Network:
-    """Adam on the softmax loss."""
+def train(windows: np.ndarray, y: np.ndarray, n_langs: int, steps: int = 1200, batch: int = 64, rate: float = 0.004, seed: int = 11) -> Network:
+    """Adam on the softmax loss, over the windows again and again."""
     rng = np.random.default_rng(seed)
     net, step = Network(n_langs, rng), 0
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in net.parameters()]
-    total = epochs * -(-len(windows) // batch)
-    for _ in range(epochs):
-        order = rng.permutation(len(windows))
-        for a in range(0, len(order), batch):
-            part, step = order[a : a + batch], step + 1
-            now = rate * (1 - step / (total + 1))
-            for w, g, (m, v) in zip(net.parameters(), net.gradients(windows[part].astype(np.int64), y[part]), moments):
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                w -= (now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+    order = np.zeros(0, int)
+    while step < steps:
+        order, step = (order if len(order) >= batch else np.concatenate([order, *(rng.permutation(len(windows)) for _ in range(1 + batch // len(windows)))])), step + 1
+        part, order = order[:batch], order[batch:]
+        now = rate * (1 - step / (steps + 1))
+        for w, g, (m, v) in zip(net.parameters(), net.gradients(windows[part].astype(np.int64), y[part]), moments):
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            w -= (now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
     return net
 
 
@@ -128,10 +127,7 @@ def held_out():
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[Network | None, list[str]]:
     """The network and its languages, in alphabetical order."""
-    from pyspark.sql import Window
-
     rows = docs.select("doc_id", "lang", "text").where("lang is not null and text is not null").where(~held_out())
-    langs = [r["lang"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()]
     # A language's sample is its documents below a hash bound that its count fixes, then the lowest of these.
     place = Window.partitionBy("lang").orderBy("h", "doc_id")
     narrow = docs.where("lang is not null and text is not null").where(~held_out()).select("doc_id", "lang", F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(1)).alias("h"))
@@ -140,8 +136,10 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[Network | None, list[s
     near = narrow.join(F.broadcast(counts), "lang").where((F.col("h").cast("double") / 2.0**64 + 0.5) < share)  # a row a language
     chosen = near.withColumn("place", F.row_number().over(place)).where(F.col("place") <= sample).select("doc_id", "lang")
     got = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text")  # at most `sample` a language
-    # Of each document a few windows, spread over it.
-    per = max(1, TRAIN_WINDOWS // max(1, sample))
+    # Of each document a few windows, spread over it; more where there are few documents.
+    known = {r["lang"]: r["n"] for r in counts.collect()}
+    langs, fewest = sorted(known), min(known.values(), default=1)
+    per = max(1, TRAIN_WINDOWS // max(1, min(sample, fewest)))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
