@@ -8,9 +8,10 @@ Null text is the empty text. Rows that repeat, and texts with one fingerprint, a
 doc_id names a group only if the group has no other. An empty table gives no rows.
 
 Links: two fingerprints link at `most` = 4 or fewer differing bits. Four bits touch four bytes at most,
-so the two share at least four of eight positional bytes. The inverted index lists fingerprints by three
-byte positions and the bytes there; 20 triples are enough that any four positions contain one of them.
-In a list, a pair's shared positional bytes are tallied, pairs below four are passed over, and the others
+so the two share at least four of eight positional bytes. The inverted index lists fingerprints by byte
+positions and the bytes there: by three positions (20 triples are enough that any four positions contain
+one of them) or by four (all 70 sets of four), whichever makes fewer entries and chance pairs for the
+number of fingerprints; both find every link. In a list, a pair's shared positional bytes are tallied, pairs below four are passed over, and the others
 are verified bit by bit. Long lists are dealt out as pairs of chunks; a list yields a spanning forest of
 its links, so the number of links stays below the number of list entries however close the texts are.
 """
@@ -18,13 +19,15 @@ its links, so the number of links stays below the number of list entries however
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import broadcast_if_small, drop_written, partitions, texts, written
+from tracelake.llm.common import broadcast_if_small, partitions, texts, written
 from tracelake.llm.components import components
 from tracelake.llm.tokens import slices
 
@@ -32,6 +35,8 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Of eight byte positions in groups of 3, 3 and 2: three of a group, or two of a group and one of the next.
 GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
 SHORT, CHUNK = 32, 8192
+#: From here on 70 entries a fingerprint, in lists of 2^-32 of all, cost less than 20 in lists of 2^-24.
+MANY = 85_000_000
 
 
 def byte_triples() -> list[tuple[int, int, int]]:
@@ -43,6 +48,10 @@ def byte_triples() -> list[tuple[int, int, int]]:
     return found
 
 
+def byte_sets(n_fingerprints: int) -> list[tuple[int, ...]]:
+    return byte_triples() if n_fingerprints < MANY else list(combinations(range(8), 4))
+
+
 def fingerprint(text: bytes, width: int = 4) -> int:
     """Of one text in UTF-8, unsigned."""
     import xxhash
@@ -168,7 +177,7 @@ def near_links(fps: DataFrame, most: int = 4) -> DataFrame:
         raise ValueError("the triples of byte positions are for 0 to 4 differing bits")
     spark = fps.sparkSession
     byte = lambda k: F.shiftrightunsigned("fp", 8 * k).bitwiseAND(F.lit(255))
-    lists = [byte(a) + byte(b) * 256 + byte(c) * 65536 + F.lit(k << 24) for k, (a, b, c) in enumerate(byte_triples())]
+    lists = [reduce(Column.__add__, [byte(p) * 256**i for i, p in enumerate(places)]) + F.lit(k << 32) for k, places in enumerate(byte_sets(fps.count()))]
     entries = fps.select("fp", F.explode(F.array(*lists)).alias("list"))
     schema = "a long, b long, long_list long, size long"
 
