@@ -10,9 +10,9 @@ PRECEDENCE = ("phase", "revision", "confidence", "ts_ms", "event_id")
 
 
 def rank_of(layer: Column, authenticated: Column, authority: Column) -> Column:
-    """Authenticated L1 before authenticated L2 before the rest; then authoritative, self-reported, rest."""
+    """Authenticated L1 before authenticated L2 before the rest; then authoritative, self_reported, rest."""
     first = F.when(authenticated & (layer == "L1"), 3).when(authenticated & (layer == "L2"), 2).otherwise(1)
-    second = F.when(authority == "authoritative", 3).when(authority == "self-reported", 2).otherwise(1)
+    second = F.when(authority == "authoritative", 3).when(authority == "self_reported", 2).otherwise(1)
     return F.struct(first.alias("layer_rank"), second.alias("authority_rank"))
 
 

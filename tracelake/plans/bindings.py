@@ -64,7 +64,7 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as observations of an entity with layer, authority, revision and confidence."""
     pick = lambda *names: F.element_at(F.array(*map(F.lit, names)), (F.col("k") % 3 + 1).cast("int"))
     e = ev(spark, sf_dir)
-    return e.select(F.col("session").alias("entity"), F.col("seq").alias("event_id"), "ts_ms", "event_type", F.when(F.col("event_type") != "view", F.col("value")).alias("value"), pick("L1", "L2", "L3").alias("layer"), (F.col("k") % 2 == 0).alias("authenticated"), pick("authoritative", "self-reported", "inferred").alias("authority"), (F.col("event_type") == "purchase").cast("int").alias("phase"), (F.col("seq") % 4).alias("revision"), (F.col("value") / 1000).alias("confidence"))
+    return e.select(F.col("session").alias("entity"), F.col("seq").alias("event_id"), "ts_ms", "event_type", F.when(F.col("event_type") != "view", F.col("value")).alias("value"), pick("L1", "L2", "L3").alias("layer"), (F.col("k") % 2 == 0).alias("authenticated"), pick("authoritative", "self_reported", "inferred").alias("authority"), (F.col("event_type") == "purchase").cast("int").alias("phase"), (F.col("seq") % 4).alias("revision"), (F.col("value") / 1000).alias("confidence"))
 
 
-OBS = "obs AS (SELECT session AS entity, seq AS event_id, ts_ms, event_type, CASE WHEN event_type <> 'view' THEN value END AS value, (['L1', 'L2', 'L3'])[k % 3 + 1] AS layer, k % 2 = 0 AS authenticated, (['authoritative', 'self-reported', 'inferred'])[k % 3 + 1] AS authority, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS phase, seq % 4 AS revision, value / 1000 AS confidence FROM ev)"
+OBS = "obs AS (SELECT session AS entity, seq AS event_id, ts_ms, event_type, CASE WHEN event_type <> 'view' THEN value END AS value, (['L1', 'L2', 'L3'])[k % 3 + 1] AS layer, k % 2 = 0 AS authenticated, (['authoritative', 'self_reported', 'inferred'])[k % 3 + 1] AS authority, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS phase, seq % 4 AS revision, value / 1000 AS confidence FROM ev)"

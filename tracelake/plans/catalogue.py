@@ -452,7 +452,7 @@ def coverage_accounting(spark, sf):
 
 # Folds
 
-COHORT = ", rk AS (SELECT *, CASE WHEN authenticated AND layer = 'L1' THEN 3 WHEN authenticated AND layer = 'L2' THEN 2 ELSE 1 END * 10 + CASE authority WHEN 'authoritative' THEN 3 WHEN 'self-reported' THEN 2 ELSE 1 END AS rk FROM obs), co AS (SELECT * FROM rk QUALIFY rk = max(rk) OVER (PARTITION BY entity))"
+COHORT = ", rk AS (SELECT *, CASE WHEN authenticated AND layer = 'L1' THEN 3 WHEN authenticated AND layer = 'L2' THEN 2 ELSE 1 END * 10 + CASE authority WHEN 'authoritative' THEN 3 WHEN 'self_reported' THEN 2 ELSE 1 END AS rk FROM obs), co AS (SELECT * FROM rk QUALIFY rk = max(rk) OVER (PARTITION BY entity))"
 
 
 def _cohort(spark, sf) -> DataFrame:
