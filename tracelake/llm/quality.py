@@ -5,7 +5,9 @@ is the unlabelled web text. A small network minimises the non-negative unbiased
 
     prior * R_pos(+) + max(0, R_unl(-) - prior * R_pos(-))
 
-where the class prior is estimated: the share of 1 among the fold's labelled documents.
+where the class prior is estimated: the share of 1 among the fold's labelled documents, less twice its
+standard error. A prior that is a little low leaves the best decision as it is (it would take less than
+half the true prior to change it), while one that is too high makes the negative risk meaningless.
 
 Features describe a text's make-up (bytes, words, lines), computed over the whole text; labels, lang,
 source and doc_id are no inputs. The model is fitted on at most SAMPLE positives and SAMPLE unlabelled
@@ -80,8 +82,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(x), -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, steps: int = 3000, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> Model:
-    """Minimise the non-negative unbiased risk by Adam on logistic loss."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, steps: int = 800, batch: int = 4096, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> Model:
+    """Minimise the non-negative unbiased risk by Adam. The loss is the sigmoid loss, which is bounded:
+    with it a batch's estimate of the negative risk is steady, also where the prior is high."""
     rng = np.random.default_rng(seed)
     every = np.concatenate([positive, unlabelled])
     mean, scale = every.mean(0), every.std(0) + 1e-3
@@ -89,25 +92,24 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
     weights = [rng.normal(0, d**-0.5, (d, hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), np.zeros(1)]
     p, u = (positive - mean) / scale, (unlabelled - mean) / scale
     moments = [[np.zeros_like(w), np.zeros_like(w)] for w in weights]
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, steps + 1):
-        x = np.concatenate([p[rng.integers(0, len(p), 512)], u[rng.integers(0, len(u), 512)]])
+        n, m = min(batch, len(p)), min(batch, len(u))
+        x = np.concatenate([p[rng.integers(0, len(p), n)], u[rng.integers(0, len(u), m)]])
         a, b, c, e = weights
         h = np.tanh(x @ a + b)
-        z = h @ c + e
-        zp, zu = z[:512], z[512:]
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        if negative >= 0:
-            g = np.concatenate([prior * (sigmoid(zp) - 1) - prior * sigmoid(zp), sigmoid(zu)]) / 512
-        else:  # the risk's negative part must not fall further: walk it back
-            g = np.concatenate([prior * sigmoid(zp), -sigmoid(zu)]) / 512
+        y = 1 / (1 + np.exp(-np.clip(h @ c + e, -30, 30)))  # also the loss as a negative; 1 - y as a positive
+        slope = y * (1 - y)
+        if y[n:].mean() - prior * y[:n].mean() >= 0:
+            g = np.concatenate([-2 * prior * slope[:n] / n, slope[n:] / m])
+        else:  # the negative risk must not fall further: walk it back
+            g = np.concatenate([prior * slope[:n] / n, -slope[n:] / m])
         gh = np.outer(g, c) * (1 - h * h)
         grads = [x.T @ gh + decay * a, gh.sum(0), h.T @ g + decay * c, np.array([g.sum()])]
         now = rate * (1 - step / (steps + 1))
-        for w, grad, m in zip(weights, grads, moments):
-            m[0][:] = 0.9 * m[0] + 0.1 * grad
-            m[1][:] = 0.999 * m[1] + 0.001 * grad * grad
-            w -= now * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-8)
+        for w, grad, moment in zip(weights, grads, moments):
+            moment[0][:] = 0.9 * moment[0] + 0.1 * grad
+            moment[1][:] = 0.999 * moment[1] + 0.001 * grad * grad
+            w -= now * (moment[0] / (1 - 0.9**step)) / (np.sqrt(moment[1] / (1 - 0.999**step)) + 1e-8)
     return Model(mean, scale, weights)
 
 
@@ -132,13 +134,19 @@ def _sampled(docs: DataFrame, ids: DataFrame, sample: int) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Learned from the training fold alone; None where it has no positive document."""
     known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(~held_out())
-    share = known.agg(F.avg(F.col("quality").cast("double"))).first()[0]
+    share, n = known.agg(F.avg(F.col("quality").cast("double")), F.count("*")).first()
     fold = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").where(~held_out())
     positive = known.where("quality = 1").select("doc_id")
     p = _sampled(docs, fold.join(positive, "doc_id", "left_semi"), sample)
     if not len(p):
         return None
-    return fit(p, _sampled(docs, fold, sample), float(np.clip(share, 0.01, 0.99)))
+    u = _sampled(docs, fold, sample)
+    return fit(p, u, careful_prior(share, n, len(u)))
+
+
+def careful_prior(share: float, n_labelled: int, n_unlabelled: int) -> float:
+    error = np.sqrt(share * (1 - share) * (1 / n_labelled + 1 / n_unlabelled))
+    return float(np.clip(share - 2 * error, share / 2 + 0.01, 0.99))
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
