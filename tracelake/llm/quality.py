@@ -5,7 +5,7 @@ is the unlabelled web text. A small network minimises the non-negative unbiased
 
     prior * R_pos(+) + max(0, R_unl(-) - prior * R_pos(-))
 
-where the class prior is estimated: the share of 1 among the fold's labelled documents, less twice its
+where the class prior is estimated: the share of 1 among the fold's labelled documents, less half its
 standard error. A prior that is a little low leaves the best decision as it is (it would take less than
 half the true prior to change it), while one that is too high makes the negative risk meaningless.
 
@@ -82,7 +82,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(x), -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, steps: int = 800, batch: int = 4096, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> Model:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, steps: int = 800, batch: int = 4096, rate: float = 0.02, decay: float = 1e-3, seed: int = 7) -> Model:
     """Minimise the non-negative unbiased risk by Adam. The loss is the sigmoid loss, which is bounded:
     with it a batch's estimate of the negative risk is steady, also where the prior is high."""
     rng = np.random.default_rng(seed)
@@ -146,7 +146,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
 
 def careful_prior(share: float, n_labelled: int, n_unlabelled: int) -> float:
     error = np.sqrt(share * (1 - share) * (1 / n_labelled + 1 / n_unlabelled))
-    return float(np.clip(share - 2 * error, share / 2 + 0.01, 0.99))
+    return float(np.clip(share - error / 2, share / 2 + 0.01, 0.99))
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
