@@ -8,8 +8,8 @@ is kept exactly beside the code. Vectors are centred first, which changes no dis
    bends the largest inner products. Centres are fitted on the SAMPLE vectors whose ids hash lowest.
 2. Every vector is indexed: a row a block of vectors with packed four-bit codes.
 3. Queries go out in blocks too and meet every block of codes; a query's table of 16 values a subspace
-   is summed over the codes. Each block keeps the RERANK best a query, ties to the smaller id, and so
-   does each query over all blocks.
+   is summed over the codes. Each block keeps the RERANK best a query, ties to the smaller id, in one
+   row; these rows are merged a query at a time into the RERANK best of all blocks.
 4. These candidates are joined to the original vectors and ordered by exact distance.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no
@@ -156,14 +156,41 @@ def candidates(data: DataFrame, queries: DataFrame, rerank: int) -> DataFrame:
                     least = np.partition(score, len(score) - rerank)[len(score) - rerank] if len(score) > rerank else -np.inf
                     near = np.flatnonzero((score >= least) & (score > -np.inf))
                     near = near[np.lexsort((ids[near], -score[near]))[:rerank]]
-                    found.append((np.full(len(near), q_id), ids[near], score[near]))
-                q, v, s = (np.concatenate(x) for x in zip(*found))
-                yield pa.RecordBatch.from_pydict({"query_id": q, "vec_id": v, "approx": s})
+                    found.append((int(q_id), ids[near].tobytes(), score[near].tobytes()))
+                yield pa.RecordBatch.from_pydict(dict(zip(("query_id", "ids", "scores"), map(list, zip(*found)))))
 
     met = everywhere.join(blocks, "part").select("ids", "codes", "half", "q_ids", "q")
-    each = met.mapInArrow(scan, "query_id long, vec_id long, approx float")
-    order = Window.partitionBy("query_id").orderBy(F.desc("approx"), "vec_id")
-    return each.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rerank).select("query_id", "vec_id")
+    each = met.mapInArrow(scan, "query_id long, ids binary, scores binary")
+    dealt = each.repartition(n, "query_id").sortWithinPartitions("query_id")
+    return dealt.mapInArrow(merging(rerank), "query_id long, vec_id long")
+
+
+def merging(rerank: int):
+    """For rows sorted by query: the best candidates of all its rows. It holds one query's best so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, ids, scores = None, None, None
+
+        def best():
+            order = np.lexsort((ids, -scores))[:rerank]
+            return pa.RecordBatch.from_pydict({"query_id": pa.array(np.full(len(order), query)), "vec_id": pa.array(ids[order])})
+
+        for batch in batches:
+            for q, i, s in zip(*(batch.column(k).to_pylist() for k in ("query_id", "ids", "scores"))):
+                i, s = np.frombuffer(i, "<i8"), np.frombuffer(s, np.float32)
+                if q != query:
+                    if query is not None:
+                        yield best()
+                    query, ids, scores = q, i, s
+                else:
+                    ids, scores = np.concatenate([ids, i]), np.concatenate([scores, s])
+                    if len(ids) > 20 * rerank:
+                        order = np.lexsort((ids, -scores))[:rerank]
+                        ids, scores = ids[order], scores[order]
+        if query is not None:
+            yield best()
+
+    return run
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = RERANK) -> DataFrame:
