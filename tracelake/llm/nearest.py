@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import partitions, written
 
 SUB, CENTRES, ETA = 2, 16, 4.0
-SAMPLE, BLOCK, QUERY_BLOCK, RERANK = 20_000, 4096, 256, 200
+SAMPLE, BLOCK, QUERY_BLOCK, RERANK = 10_000, 4096, 256, 200
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 class Quantiser:
     """Centres of each subspace, fitted to centred vectors."""
 
-    def __init__(self, x: np.ndarray, rounds: int = 12, seed: int = 5):
+    def __init__(self, x: np.ndarray, rounds: int = 8, seed: int = 5):
         self.centre = x.mean(0)
         x = self.padded(x)
         rng = np.random.default_rng(seed)
@@ -80,16 +80,19 @@ class Quantiser:
 
     def update(self, x: np.ndarray, unit: np.ndarray, codes: np.ndarray) -> None:
         """Each centre to the least loss of its vectors, the other subspaces held."""
+        parts, units = x.reshape(len(x), self.subs, SUB), unit.reshape(len(x), self.subs, SUB)
+        own = lambda s: ((parts[:, s] - self.books[s][codes[:, s]]) * units[:, s]).sum(1)
+        along = sum(own(s) for s in range(self.subs))
         for s in range(self.subs):
-            part, u = x[:, s * SUB : (s + 1) * SUB], unit[:, s * SUB : (s + 1) * SUB]
-            along = sum(((x[:, t * SUB : (t + 1) * SUB] - self.books[t][codes[:, t]]) * unit[:, t * SUB : (t + 1) * SUB]).sum(1) for t in range(self.subs) if t != s)
+            rest = along - own(s)
             for c in range(CENTRES):
                 rows = codes[:, s] == c
                 if rows.any():
-                    p, v = part[rows], u[rows]
+                    p, v = parts[rows, s], units[rows, s]
                     a = rows.sum() * np.eye(SUB) + (ETA - 1) * v.T @ v
-                    b = p.sum(0) + (ETA - 1) * (v * ((v * p).sum(1) + along[rows])[:, None]).sum(0)
+                    b = p.sum(0) + (ETA - 1) * (v * ((v * p).sum(1) + rest[rows])[:, None]).sum(0)
                     self.books[s, c] = np.linalg.solve(a, b)
+            along = rest + own(s)
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Packed four-bit codes, two a byte, and half the squared lengths."""
