@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracelake.functions import identity as I
 from tracelake.functions import predicates as P
-from tracelake.operators import aggregates, folds, graph, joins, search, sequences
+from tracelake.operators import aggregates, entities, folds, graph, ingest, joins, search, sequences
 from tracelake.operators.stages import Rows
 from tracelake.plans import bindings as T
 from tracelake.plans import fixed, views
 from tracelake.sources import log as L
+from tracelake.sources.providers import typed
+from tracelake.streaming import windows
+from tracelake.streaming.replay import prefix, tail
 
 CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -545,12 +549,105 @@ def crc_hash_columns(spark, sf):
 
 @query("SELECT seq, session, event_type FROM ev", T.EV)
 def replay_prefix_plus_tail(spark, sf):
-    from tracelake.streaming.replay import prefix, tail
-
     e = T.ev(spark, sf).select("seq", "session", "event_type")
     return prefix(e, 2000).unionByName(tail(e, 2000))
 
 
+# Identities, text forms
+
+
+@query("SELECT seq, sha256(unhex(printf('%02x00000000000000', strlen(event_type))) || encode(event_type) || unhex(printf('%02x00000000000000', strlen(CAST(session AS VARCHAR)))) || encode(CAST(session AS VARCHAR))) AS id FROM ev", T.EV)
+def identity_framed(spark, sf):
+    return T.ev(spark, sf).select("seq", I.framed(F.col("event_type"), F.col("session").cast("string")).alias("id"))
+
+
+@query("SELECT seq, strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS iso, '01' || lpad(lower(to_hex(ts_ms)), 12, '0') || '-' || lpad(CAST(seq % 10000 AS VARCHAR), 4, '0') AS order_key FROM ev", T.EV)
+def time_and_order_keys(spark, sf):
+    return T.ev(spark, sf).select("seq", I.iso_ms(F.col("ts_ms")).alias("iso"), I.order_key(F.col("ts_ms"), F.col("seq")).alias("order_key"))
+
+
+@query("SELECT seq, CASE event_type WHEN 'error' THEN 'turn.aborted' WHEN 'click' THEN 'tool.called' WHEN 'purchase' THEN 'tool.completed' ELSE 'native.event' END AS kind FROM ev", T.EV)
+def event_type_map(spark, sf):
+    table = {"error": "turn.aborted", "click": "tool.called", "purchase": "tool.completed"}
+    return T.ev(spark, sf).select("seq", typed(F.col("event_type"), table).alias("kind"))
+
+
+# Ingest
+
+
+@query("SELECT seq AS event, row_number() OVER (ORDER BY ts_ms, seq) - 1 + 500 AS seq FROM ev", T.EV)
+def assign_sequence(spark, sf):
+    e = T.ev(spark, sf).select(F.col("seq").alias("event"), "ts_ms")
+    return ingest.numbered(e, ["ts_ms", "event"], 500).select("event", "seq")
+
+
+@query("SELECT DISTINCT session AS event_id FROM ev WHERE session NOT IN (SELECT session FROM ev WHERE event_type = 'signup' AND k > 50)", T.EV)
+def unknown_antijoin(spark, sf):
+    e = T.ev(spark, sf).withColumn("event_id", F.col("session"))
+    return ingest.unknown(e.select("event_id"), e.where("event_type = 'signup' AND k > 50"))
+
+
+@query("SELECT doc_id FROM labels WHERE doc_id IN (SELECT vec_id FROM embeddings WHERE label = 2)")
+def evidence_semijoin(spark, sf):
+    vecs = T.table(spark, sf, "embeddings").where("label = 2").select(F.col("vec_id").alias("doc_id"))
+    return T.table(spark, sf, "labels").join(vecs, "doc_id", "left_semi").select("doc_id")
+
+
+@query("SELECT session AS path, CAST(max(ts_ms) AS BIGINT) AS modified FROM ev GROUP BY session ORDER BY modified DESC, path LIMIT 64", T.EV)
+def hot_sources_topk(spark, sf):
+    return T.ev(spark, sf).groupBy(F.col("session").alias("path")).agg(F.max("ts_ms").alias("modified")).orderBy(F.desc("modified"), "path").limit(64)
+
+
+@query(", gone AS (SELECT DISTINCT session FROM ev WHERE event_type = 'error' EXCEPT SELECT session FROM ev WHERE event_type = 'signup' AND k > 60) SELECT session AS path, 1000 AS missing_since, true AS retract FROM gone", T.EV)
+def missing_sources(spark, sf):
+    e = T.ev(spark, sf).withColumn("path", F.col("session"))
+    known = e.where("event_type = 'error'").select("path").distinct().withColumn("missing_since", F.lit(1000))
+    return ingest.gone(known, e.where("event_type = 'signup' AND k > 60"), 7000).select("path", "missing_since", "retract")
+
+
+# Sets, windows, lists
+
+
+@query("SELECT session, event_type FROM ev WHERE k < 10 UNION SELECT session, event_type FROM ev WHERE k >= 90 EXCEPT SELECT session, event_type FROM ev WHERE k = 50", T.EV)
+def set_operations(spark, sf):
+    e = T.ev(spark, sf).select("session", "event_type", "k")
+    part = lambda p: e.where(p).select("session", "event_type")
+    return part("k < 10").union(part("k >= 90")).distinct().subtract(part("k = 50"))
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL 10 MINUTE, ts)) // 1000 AS start_ms, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def window_tumbling(spark, sf):
+    made = windows.tumbling(T.table(spark, sf, "events"), "ts", "10 minutes", ["event_type"])
+    return made.select(P.epoch_ms("start").alias("start_ms"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query(", g AS (SELECT *, CASE WHEN ts_ms - lag(ts_ms) OVER w < 7200000 THEN 0 ELSE 1 END AS fresh FROM ev WINDOW w AS (PARTITION BY session ORDER BY ts_ms, seq)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY session ORDER BY ts_ms, seq) AS part FROM g) SELECT session, CAST(min(ts_ms) AS BIGINT) AS start_ms, count(*) AS n FROM s GROUP BY session, part", T.EV)
+def window_sessions(spark, sf):
+    e = T.ev(spark, sf).withColumn("at", F.timestamp_millis("ts_ms"))
+    return windows.sessions(e, "at", "2 hours", ["session"]).select("session", F.unix_millis("start").alias("start_ms"), "n")
+
+
+@query("SELECT session, string_agg(seq, ',' ORDER BY turn, seq) AS message_ids FROM msg WHERE role <> 'system' GROUP BY session", T.MSG)
+def child_lists(spark, sf):
+    m = T.msg(spark, sf)
+    rows = m.where("role <> 'system'").select(F.col("session"), F.col("session").alias("run"), F.col("turn").alias("order"), F.col("seq").cast("string").alias("id"))
+    runs = rows.select("session", F.col("session").alias("id")).distinct()
+    return entities.children(runs, rows, "run", "message_ids").select("session", F.concat_ws(",", "message_ids").alias("message_ids"))
+
+
+@query("SELECT session, count(*) AS n FROM ev WHERE event_type = 'click' AND session IN (SELECT session FROM ev WHERE k = 99) AND ts_ms >= 1704153600000 GROUP BY session", T.EV)
+def dash_filters(spark, sf):
+    e = T.ev(spark, sf)
+    rows = e.where(P.both(P.eq(F.col("event_type"), "click"), F.col("ts_ms") >= 1704153600000))
+    return rows.join(e.where("k = 99").select("session").distinct(), "session", "left_semi").groupBy("session").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(sum(k) AS BIGINT) AS tokens, CAST(sum(k) FILTER (event_type = 'view') AS BIGINT) AS cached, round(CASE WHEN sum(k) = 0 THEN 0 ELSE sum(k) FILTER (event_type = 'view') / sum(k) END, 6) AS hit_rate FROM ev", T.EV)
+def dash_totals(spark, sf):
+    cached = F.sum(F.when(F.col("event_type") == "view", F.col("k")))
+    return T.ev(spark, sf).agg(F.sum("k").alias("tokens"), cached.alias("cached"), _r(F.when(F.sum("k") == 0, 0.0).otherwise(cached / F.sum("k"))).alias("hit_rate"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Errors a type of event: count and p95 of value, in order of the type."""
     by_type = T.ev(spark, sf).groupBy("event_type").agg(F.count("*").alias("n"), F.expr("percentile_cont(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"))
