@@ -14,17 +14,35 @@ BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir. Where that is unset
-    (single-machine runs such as tests) a folder is made once and set for the session."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where that is unset a
+    single-machine session, such as a test's, gets a folder of its own; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tracelake-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tracelake/{label}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/tracelake/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediates of this process. Results that are still lazy must be written first."""
+    while _made:
+        _delete(spark, _made.pop())
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -38,9 +56,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def drop_written(df: DataFrame) -> None:
     """Delete a table of written(), once nothing lazy reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.table_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df.table_path)
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:

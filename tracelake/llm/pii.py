@@ -168,10 +168,10 @@ def _iban_ok(value: str) -> bool:
     return 15 <= len(x) <= 34 and mod97(x[4:] + x[:4]) == 1
 
 
-# Kind: its shape (a match starts only where a run of its characters starts, so that scans are linear)
-# and its validation. Earlier kinds win where matches overlap.
+# Kind: its shape (each is bounded in length, or starts only where a run of its characters starts, so
+# that scans are linear) and its validation. Earlier kinds win where matches overlap.
 SHAPES = {
-    "email": (re.compile(r"(?<![\w.%+-])[^\W_][\w.%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}(?![\w@])"), lambda v: True),
+    "email": (re.compile(r"(?<!\w)\w[\w.%+-]{0,63}@(?:[A-Za-z0-9][A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,63}(?![\w@])"), lambda v: True),
     "iban": (re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)"), _iban_ok),
     "date": (re.compile(r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\w/-]|\.[0-9])"), lambda v: date_order(v) is not None),
     "ip": (re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\w|\.[0-9])"), lambda v: True),
