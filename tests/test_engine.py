@@ -198,3 +198,22 @@ def test_follow_files(spark, tmp_path):
         assert sorted(r.raw for r in spark.table("followed").collect()) == ['{"m":2}', '{"n":1}']
     finally:
         query.stop()
+
+
+def test_match_on_a_stream_like_batch(spark, tmp_path, sf):
+    from tracelake.plans import bindings
+    from tracelake.streaming import matching
+
+    e = bindings.ev(spark, sf)
+    folder, bound = str(tmp_path / "ev"), P.duration_ms("1d")
+    for low in range(0, 1000, 250):
+        e.where(F.col("seq").between(low, low + 249)).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    made = matching.then_within(stream, "session", F.col("event_type") == "signup", F.col("event_type") == "purchase", bound)
+    query = made.writeStream.outputMode("append").format("memory").queryName("then_b").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    query.awaitTermination()
+    batch = sequences.then_event(e.where("seq < 1000"), ["session"], ["ts_ms", "seq"], F.col("event_type") == "signup", F.col("event_type") == "purchase", ["seq", "ts_ms"], ("ts_ms", bound))
+    want = sorted((str(r.session), r.seq, r.b.seq) for r in batch.collect())
+    assert want and sorted((r.key, r.a, r.b) for r in spark.table("then_b").collect()) == want
+    with pytest.raises(EngineError):
+        matching.then_within(e, "session", F.lit(True), F.lit(True), 0)
