@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -43,9 +44,10 @@ def unknown(events: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def numbered(records: DataFrame, order: list[str], base: int) -> DataFrame:
-    """records with seq, contiguous from base in the given order, without one task seeing all rows: rows
-    are dealt by range, counted a partition, and each partition starts after those before it."""
-    dealt = records.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    """records with seq, contiguous from base in the given order (which must tell all rows apart), without
+    one task seeing all rows: rows are dealt by range, counted a partition, and each partition starts after
+    those before it. The dealing is kept, since counts and rows must see the same bounds."""
+    dealt = records.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
     dealt = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     counts = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
