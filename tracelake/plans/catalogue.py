@@ -12,7 +12,7 @@ from tracelake.functions import predicates as P
 from tracelake.operators import aggregates, entities, folds, graph, ingest, joins, search, sequences
 from tracelake.operators.stages import Rows
 from tracelake.plans import bindings as T
-from tracelake.plans import fixed, views
+from tracelake.plans import access, fixed, views
 from tracelake.sources import log as L
 from tracelake.sources.providers import typed
 from tracelake.streaming import windows
@@ -349,6 +349,12 @@ def agg_empty(spark, sf):
     return aggregates.summary(T.ev(spark, sf).where(P.eq(F.col("event_type"), "none")), [], "value")
 
 
+@query("SELECT event_type, count(*) AS n FROM ev WHERE k < 50 AND event_type <> 'error' GROUP BY event_type", T.EV)
+def access_rules(spark, sf):
+    policy = access.Policy(rules=(("events", "k < 50"), ("events", "event_type <> 'error'")))
+    return policy.leaf("events", T.ev(spark, sf)).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
 @query("SELECT k, count(*) AS n FROM ev GROUP BY k HAVING count(*) >= 100", T.EV)
 def agg_min_group(spark, sf):
     return aggregates.min_group_size(T.ev(spark, sf).groupBy("k").agg(F.count("*").alias("n")), "n", 100)
