@@ -76,9 +76,9 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
     return which, offset, n
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, added: bool = False) -> DataFrame:
     """A row a piece: doc_id, start (its document's ids before it), length, doc_tokens, sequence_id,
-    offset in the sequence, and ids as little-endian unsigned 32-bit integers."""
+    offset in the sequence, and ids as little-endian unsigned 32-bit integers. added: see WordIds.encode()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, sequence, rest = encoder(tokenizer), TaskContext.get().partitionId() << 33, []
@@ -95,7 +95,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0) -
             sequence, rest = sequence + n, []
 
         for batch in slices(batches):
-            ids, lengths = codec.encode(batch.column("text").to_pylist(), end_id)
+            ids, lengths = codec.encode(batch.column("text").to_pylist(), end_id, added)
             doc_ids, ends = batch.column("doc_id").to_pylist(), np.cumsum(lengths)
             full = [[] for _ in range(4)]
             for doc_id, n, end in zip(doc_ids, lengths.tolist(), ends.tolist()):

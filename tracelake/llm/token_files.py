@@ -135,10 +135,10 @@ class Reader:
 MANIFEST = "file string, n_docs long, n_tokens long, first_id long, first_hash long"
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 0, id_bytes: int = 2) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 0, id_bytes: int = 2, added: bool = False) -> DataFrame:
     """Encode every text and write the ids in ascending doc_id order, a file for each range of doc_ids.
     Returns the manifest, a row a file. A task that runs again writes another file; only files in the
-    manifest count, and it is written once, so lost executors leave no trace in it."""
+    manifest count, and it is written once, so lost executors leave no trace in it. added: see WordIds.encode()."""
     spark = docs.sparkSession
     folder = folder or new_path(spark, "token-files")
 
@@ -149,7 +149,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
             if out is None:
                 path = f"{folder}/{uuid.uuid4().hex}.tok"
                 out, first = Writer(path, id_bytes), (batch.column("doc_id")[0].as_py(), batch.column("h")[0].as_py())
-            ids, lengths = codec.encode(batch.column("text").to_pylist(), end_id)
+            ids, lengths = codec.encode(batch.column("text").to_pylist(), end_id, added)
             out.add(ids, batch.column("doc_id").to_pylist(), lengths)
             n_docs, n_tokens = n_docs + batch.num_rows, n_tokens + len(ids)
         if out is not None:

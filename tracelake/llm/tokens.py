@@ -6,10 +6,15 @@ The byte-level vocabularies split a text by one fixed pattern before any merge:
 
 word_starts() finds the same pieces for a whole batch of texts with array operations. A piece's ids
 depend on the piece alone, so each distinct piece needs the tokenizer once in a worker.
+
+A tokenizer's added tokens (<|endoftext|>) come before the pattern: asked to, WordIds cuts texts at their
+literals, the longest of those that start first, and gives each its one id.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import islice
@@ -111,6 +116,12 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path).model
+        with open(path, encoding="utf-8") as f:
+            added = json.load(f).get("added_tokens") or []
+        if any(x.get(k) for x in added for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"{path} has added tokens that take in or look at their surroundings")
+        self.added = {x["content"]: x["id"] for x in added}
+        self.literals = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         # The vocabulary writes each byte as one printable character: itself, or the next one from U+0100.
         printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = iter(range(256, 512))
@@ -123,8 +134,28 @@ class WordIds:
         self.flat = np.zeros(1 << 16, np.uint32)
         self.bounds = np.zeros(1 << 14, np.int64)
 
-    def add(self, words: list[str]) -> None:
-        got = [[x.id for x in self.model.tokenize(w.encode().decode("latin-1").translate(self.byte_chars))] for w in words]
+    def split(self, texts: list[str]) -> tuple[list[str | int], np.ndarray]:
+        """As split_batch(), with the ids of added tokens in the place of their literals."""
+        if not any(x in t for t in texts for x in self.added):
+            return split_batch(texts)
+        cut = [self.literals.split(t) for t in texts]  # ordinary text and literals by turns
+        pieces, counts = split_batch([x for parts in cut for x in parts[::2]])
+        out, n_out, ends = [], [], iter(np.cumsum(counts).tolist())
+        at = 0
+        for parts in cut:
+            begin = len(out)
+            for i, x in enumerate(parts):
+                if i % 2:
+                    out.append(self.added[x])
+                else:
+                    end = next(ends)
+                    out += pieces[at:end]
+                    at = end
+            n_out.append(len(out) - begin)
+        return out, np.array(n_out, np.int64)
+
+    def add(self, words: list[str | int]) -> None:
+        got = [[w] if isinstance(w, int) else [x.id for x in self.model.tokenize(w.encode().decode("latin-1").translate(self.byte_chars))] for w in words]
         n, held = len(self.place) - len(words), self.bounds[len(self.place) - len(words)]
         ends = held + np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))
         self.flat = grown(self.flat, ends[-1])
@@ -132,9 +163,10 @@ class WordIds:
         self.flat[held : ends[-1]] = [i for x in got for i in x]
         self.bounds[n + 1 : n + 1 + len(words)] = ends
 
-    def encode(self, texts: list[str], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and each text's number of ids; end_id closes each text."""
-        pieces, n_pieces = split_batch(texts)
+    def encode(self, texts: list[str], end_id: int | None, added: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and each text's number of ids; end_id closes each text. added: literals of
+        added tokens get their ids, else they are ordinary text."""
+        pieces, n_pieces = self.split(texts) if added else split_batch(texts)
         if len(self.place) > self.most:
             self.clear()
         before = len(self.place)
