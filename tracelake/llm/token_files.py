@@ -69,7 +69,10 @@ class Writer:
         self.waiting += at - begin
 
     def flush(self) -> None:
-        raw = np.concatenate([np.zeros(0, np.uint32), *self.parts]).astype(f"<u{self.id_bytes}").tobytes()
+        ids = np.concatenate([np.zeros(0, np.uint32), *self.parts])
+        if len(ids) and int(ids.max()) >> 8 * self.id_bytes:
+            raise ValueError(f"id {ids.max()} does not fit in {self.id_bytes} bytes")
+        raw = ids.astype(f"<u{self.id_bytes}").tobytes()
         if self.n_waiting:
             frame = self.pack(raw)
             self.out.write(frame)
@@ -135,10 +138,11 @@ class Reader:
 MANIFEST = "file string, n_docs long, n_tokens long, first_id long, first_hash long"
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 0, id_bytes: int = 2, added: bool = False) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 0, id_bytes: int | None = None, added: bool = False) -> DataFrame:
     """Encode every text and write the ids in ascending doc_id order, a file for each range of doc_ids.
     Returns the manifest, a row a file. A task that runs again writes another file; only files in the
-    manifest count, and it is written once, so lost executors leave no trace in it. added: see WordIds.encode()."""
+    manifest count, and it is written once, so lost executors leave no trace in it.
+    id_bytes: 2 or 4, by default what the vocabulary's largest id needs. added: see WordIds.encode()."""
     spark = docs.sparkSession
     folder = folder or new_path(spark, "token-files")
 
@@ -148,7 +152,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
         for batch in slices(batches):
             if out is None:
                 path = f"{folder}/{uuid.uuid4().hex}.tok"
-                out, first = Writer(path, id_bytes), (batch.column("doc_id")[0].as_py(), batch.column("h")[0].as_py())
+                out, first = Writer(path, id_bytes or (2 if max(codec.top_id, end_id) < 1 << 16 else 4)), (batch.column("doc_id")[0].as_py(), batch.column("h")[0].as_py())
             ids, lengths = codec.encode(batch.column("text").to_pylist(), end_id, added)
             out.add(ids, batch.column("doc_id").to_pylist(), lengths)
             n_docs, n_tokens = n_docs + batch.num_rows, n_tokens + len(ids)

@@ -115,7 +115,8 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
+        whole = Tokenizer.from_file(path)
+        self.model, self.top_id = whole.model, max(whole.get_vocab(with_added_tokens=True).values(), default=0)
         with open(path, encoding="utf-8") as f:
             added = json.load(f).get("added_tokens") or []
         if any(x.get(k) for x in added for k in ("single_word", "lstrip", "rstrip")):
