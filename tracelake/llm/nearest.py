@@ -8,9 +8,15 @@ is kept exactly beside the code. Vectors are centred first, which changes no dis
    bends the largest inner products. Centres are fitted on the SAMPLE vectors whose ids hash lowest.
 2. Every vector is indexed: a row a block of vectors with packed four-bit codes.
 3. Queries go out in blocks too and meet every block of codes; a query's table of 16 values a subspace
-   is summed over the codes. Each block keeps the RERANK best a query, ties to the smaller id, in one
-   row; these rows are merged a query at a time into the RERANK best of all blocks.
-4. These candidates are joined to the original vectors and ordered by exact distance.
+   is summed over the codes. The RERANK best of a block are reranked by exact distance, and their k-th
+   distance bounds what the block can add.
+4. Each vector's quantisation error is kept beside its code, so the same sums give a lower bound of its
+   distance. Every further vector whose bound is not above the k-th distance is reranked too, however
+   many there are (copies of one vector, say). So a block's k best are exact; they are merged a query at
+   a time into the k best of all blocks, and nothing is lost to a cap.
+
+A block carries its vectors, in four bytes a component where that is exact. Where codes tell vectors
+apart badly, most of a block is reranked: time, not results, depends on the data.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part, nor do rows with a null id. Rows that repeat an id are candidates one by one; a query's own id is
@@ -23,13 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import partitions, written
 
 SUB, CENTRES, ETA = 2, 16, 4.0
-SAMPLE, BLOCK, QUERY_BLOCK, RERANK = 10_000, 4096, 256, 200
+SAMPLE, BLOCK, QUERY_BLOCK, RERANK = 10_000, 2048, 256, 200
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -95,11 +101,16 @@ class Quantiser:
             along = rest + own(s)
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Packed four-bit codes, two a byte, and half the squared lengths."""
+        """Packed four-bit codes, two a byte, and a row each of: half the squared length, the squared length
+        of what the code stands for, and at least the distance between both."""
+        raw = x
         x = self.padded(x)
         unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        codes = np.pad(self.assign(x, unit, None), ((0, 0), (0, self.subs % 2))).astype(np.uint8)
-        return codes[:, ::2] | codes[:, 1::2] << 4, ((x**2).sum(1) / 2).astype(np.float32)
+        codes = self.assign(x, unit, None)
+        coded = self.books[np.arange(self.subs), codes].reshape(x.shape)
+        error = np.linalg.norm(x - coded, axis=1) * (1 + 1e-9) + 1e-12 * (np.linalg.norm(raw, axis=1) + np.linalg.norm(self.centre))
+        codes = np.pad(codes, ((0, 0), (0, self.subs % 2))).astype(np.uint8)
+        return codes[:, ::2] | codes[:, 1::2] << 4, np.stack([(x**2).sum(1) / 2, (coded**2).sum(1), error])
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """For each query the inner products with every centre: (queries, subspaces, 16)."""
@@ -111,12 +122,45 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
-def candidates(data: DataFrame, queries: DataFrame, rerank: int) -> DataFrame:
-    """query_id, vec_id: at most `rerank` a query by the scan. data, queries: of usable()."""
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Of each row of x to q; a row's result doesn't depend on the other rows, so copies tie."""
+    return np.sqrt(((x - q) ** 2).sum(1))
+
+
+def block_nearest(model: Quantiser, ids: np.ndarray, x: np.ndarray, packed: np.ndarray, sizes: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int, rerank: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query the exact k nearest of a block: ids and distances."""
+    codes = np.empty((model.subs + model.subs % 2, len(ids)), np.intp)
+    codes[::2], codes[1::2] = packed.T & 15, packed.T >> 4
+    half, coded, error = sizes
+    tables, centred = model.tables(q), model.padded(q)
+    for i, q_id in enumerate(q_ids):
+        product = np.zeros(len(ids), np.float32)
+        for s in range(model.subs):
+            product += tables[i, s][codes[s]]
+        mine = ids == q_id
+        score = np.where(mine, -np.inf, product - half)
+        first = np.argpartition(-score, rerank)[:rerank] if len(score) > rerank else np.arange(len(score))
+        first = first[~mine[first]]
+        near = distances(x[first], q[i])
+        if len(first) < len(ids):
+            worst = np.partition(near, k - 1)[k - 1] if len(near) >= k else np.inf
+            length = (centred[i] ** 2).sum()
+            slack = 1e-6 * (model.subs + 8) * (np.sqrt(length) + np.sqrt(coded)) ** 2  # for sums in four bytes
+            least = np.sqrt(np.maximum(length + coded - 2.0 * product - slack, 0)) - error
+            rest = ~mine & ~(least > worst * (1 + 1e-9))
+            rest[first] = False
+            rest = np.flatnonzero(rest)
+            first, near = np.concatenate([first, rest]), np.concatenate([near, distances(x[rest], q[i])])
+        best = np.lexsort((ids[first], near))[:k]
+        yield ids[first[best]], near[best]
+
+
+def nearest_rows(data: DataFrame, queries: DataFrame, k: int, rerank: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest a query. data, queries: of usable()."""
     spark = data.sparkSession
     sample = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
     if not sample.num_rows:
-        return queries.select(F.col("vec_id").alias("query_id"), "vec_id").where("false")
+        return queries.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
     sample = sample.sort_by("vec_id")
     model = Quantiser(np.array(sample.column("v").to_pylist()))
     d = len(model.centre)
@@ -125,11 +169,15 @@ def candidates(data: DataFrame, queries: DataFrame, rerank: int) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(a, BLOCK)
-                codes, half = model.encode(_matrix(part.column("v"), d))
-                yield pa.RecordBatch.from_pydict({"ids": [part.column("vec_id").to_numpy().astype("<i8").tobytes()], "codes": [codes.tobytes()], "half": [half.tobytes()]})
+                x = _matrix(part.column("v"), d)
+                codes, sizes = model.encode(x)
+                with np.errstate(over="ignore"):
+                    short = x.astype("<f4")
+                x = short if (short == x).all() else x
+                yield pa.RecordBatch.from_pydict({"ids": [part.column("vec_id").to_numpy().astype("<i8").tobytes()], "codes": [codes.tobytes()], "sizes": [sizes.tobytes()], "x": [x.tobytes()]})
 
     n = partitions(spark)
-    blocks = data.mapInArrow(index, "ids binary, codes binary, half binary")
+    blocks = data.mapInArrow(index, "ids binary, codes binary, sizes binary, x binary")
     blocks = written(blocks.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(n))), "codes")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,51 +192,41 @@ def candidates(data: DataFrame, queries: DataFrame, rerank: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {k: batch.column(k)[i].as_py() for k in ("ids", "codes", "half", "q_ids", "q")}
-                ids, half, q_ids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["half"], np.float32), np.frombuffer(row["q_ids"], "<i8")
-                packed = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
-                codes = np.empty((model.subs + model.subs % 2, len(ids)), np.intp)
-                codes[::2], codes[1::2] = packed.T & 15, packed.T >> 4
-                tables = model.tables(np.frombuffer(row["q"]).reshape(len(q_ids), d))
-                found = []
-                for k, q_id in enumerate(q_ids):
-                    score = -half
-                    for s in range(model.subs):
-                        score = score + tables[k, s][codes[s]]
-                    score[ids == q_id] = -np.inf
-                    least = np.partition(score, len(score) - rerank)[len(score) - rerank] if len(score) > rerank else -np.inf
-                    near = np.flatnonzero((score >= least) & (score > -np.inf))
-                    near = near[np.lexsort((ids[near], -score[near]))[:rerank]]
-                    found.append((int(q_id), ids[near].tobytes(), score[near].tobytes()))
-                yield pa.RecordBatch.from_pydict(dict(zip(("query_id", "ids", "scores"), map(list, zip(*found)))))
-
-    met = everywhere.join(blocks, "part").select("ids", "codes", "half", "q_ids", "q")
+                row = {c: batch.column(c)[i].as_py() for c in ("ids", "codes", "sizes", "x", "q_ids", "q")}
+                ids, q_ids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
+                x = np.frombuffer(row["x"], "<f4" if len(row["x"]) == 4 * d * len(ids) else "<f8").astype(np.float64).reshape(len(ids), d)
+                packed, sizes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(row["sizes"]).reshape(3, -1)
+                found = block_nearest(model, ids, x, packed, sizes, q_ids, np.frombuffer(row["q"]).reshape(len(q_ids), d), k, rerank)
+                rows = [(int(q_id), a.tobytes(), b.tobytes()) for q_id, (a, b) in zip(q_ids, found)]
+                yield pa.RecordBatch.from_pydict(dict(zip(("query_id", "ids", "scores"), map(list, zip(*rows)))))
+
+    met = everywhere.join(blocks, "part").select("ids", "codes", "sizes", "x", "q_ids", "q")
     each = met.mapInArrow(scan, "query_id long, ids binary, scores binary")
     dealt = each.repartition(n, "query_id").sortWithinPartitions("query_id")
-    return dealt.mapInArrow(merging(rerank), "query_id long, vec_id long")
+    return dealt.mapInArrow(merging(k), "query_id long, rank int, vec_id long, score double")
 
 
-def merging(rerank: int):
-    """For rows sorted by query: the best candidates of all its rows. It holds one query's best so far."""
+def merging(k: int):
+    """For rows sorted by query: the nearest of all its rows. It holds one query's nearest so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query, ids, scores = None, None, None
 
         def best():
-            order = np.lexsort((ids, -scores))[:rerank]
-            return pa.RecordBatch.from_pydict({"query_id": pa.array(np.full(len(order), query)), "vec_id": pa.array(ids[order])})
+            order = np.lexsort((ids, scores))[:k]
+            return pa.RecordBatch.from_pydict({"query_id": pa.array(np.full(len(order), query)), "rank": pa.array(np.arange(1, len(order) + 1, dtype=np.int32)), "vec_id": pa.array(ids[order]), "score": pa.array(scores[order])})
 
         for batch in batches:
-            for q, i, s in zip(*(batch.column(k).to_pylist() for k in ("query_id", "ids", "scores"))):
-                i, s = np.frombuffer(i, "<i8"), np.frombuffer(s, np.float32)
+            for q, i, s in zip(*(batch.column(c).to_pylist() for c in ("query_id", "ids", "scores"))):
+                i, s = np.frombuffer(i, "<i8"), np.frombuffer(s)
                 if q != query:
                     if query is not None:
                         yield best()
                     query, ids, scores = q, i, s
                 else:
                     ids, scores = np.concatenate([ids, i]), np.concatenate([scores, s])
-                    if len(ids) > 20 * rerank:
-                        order = np.lexsort((ids, -scores))[:rerank]
+                    if len(ids) > 20 * k:
+                        order = np.lexsort((ids, scores))[:k]
                         ids, scores = ids[order], scores[order]
         if query is not None:
             yield best()
@@ -197,13 +235,7 @@ def merging(rerank: int):
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = RERANK) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: each query's k nearest found, nearest first, ties to the
-    smaller vec_id; score is the Euclidean distance of the original vectors in double precision."""
-    data, asked = usable(vectors), usable(queries)
-    pairs = candidates(data, asked, max(rerank, 4 * k)).distinct()
-    with_v = pairs.join(data, "vec_id").withColumnRenamed("v", "x")
-    both = with_v.join(asked.select(F.col("vec_id").alias("query_id"), "v"), "query_id")
-    squares = F.aggregate(F.zip_with("x", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-    scored = both.select("query_id", "vec_id", F.sqrt(squares).alias("score"))
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    """query_id, rank (from 1), vec_id, score: each query's k nearest, nearest first, ties to the smaller
+    vec_id; score is the Euclidean distance of the original vectors in double precision. rerank: how many
+    of a block are reranked before the bound decides about the others."""
+    return nearest_rows(usable(vectors), usable(queries), k, max(rerank, 4 * k))
