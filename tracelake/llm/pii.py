@@ -16,8 +16,10 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import unicodedata
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,10 +57,30 @@ class Permutation:
         return x
 
 
-#: The alphabets in which a character is exchanged; others stay.
+#: Alphabets in which a character is exchanged; see alphabet() for those of other scripts.
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
 
 
+@lru_cache(1)
+def other_alphabets() -> dict[str, tuple[str, list[str]]]:
+    """For letters and digits outside ALPHABETS: the name and the characters of their alphabet, which are
+    those of the same script (the first word of their names) and category."""
+    sets: dict[str, list[str]] = {}
+    for c in map(chr, range(128, 0x110000)):
+        if c.isalnum() and not any(c in a for a in ALPHABETS):
+            sets.setdefault(f"<{unicodedata.name(c, '?').split()[0]} {unicodedata.category(c)}>", []).append(c)
+    return {c: (name, a) for name, a in sets.items() for c in a}
+
+
+@lru_cache(10_000)
+def alphabet(c: str) -> tuple[str, str | list[str]]:
+    for i, a in enumerate(ALPHABETS):
+        if c in a:
+            return str(i), a
+    name, a = other_alphabets().get(c, (".", c)) if c > "\x7f" else (".", c)
+    return (name, a) if len(a) > 1 else (".", c)
+
+
 class Pseudonyms:
     """Pseudonyms under one key."""
 
@@ -72,11 +94,11 @@ class Pseudonyms:
 
     def characters(self, kind: str, value: str) -> str:
         """Each digit and letter becomes one of its alphabet; all of them are permuted as one number."""
-        sets = [next((a for a in ALPHABETS if c in a), c) for c in value]
+        names, sets = zip(*map(alphabet, value)) if value else ((), ())
         size, x = 1, 0
         for c, a in zip(value, sets):
             x, size = x * len(a) + a.index(c), size * len(a)
-        x, out = self.number(kind + "".join(str(ALPHABETS.index(a)) if len(a) > 1 else "." for a in sets), size, x), []
+        x, out = self.number(kind + "".join(names), size, x), []
         for a in reversed(sets):
             x, k = divmod(x, len(a))
             out.append(a[k])
@@ -87,8 +109,11 @@ class Pseudonyms:
         return f"{self.characters('email', local)}@{domain}"
 
     def phone(self, value: str) -> str:
-        """The last ten digits change, a country code before them stays."""
-        digits = [i for i, c in enumerate(value) if c.isdigit()][-10:]
+        """The digits behind a country code change; without a known one, the last ten."""
+        digits = [i for i, c in enumerate(value) if c.isdigit()]
+        code = country_code("".join(value[i] for i in digits)) if value[0] == "+" else ""
+        national = digits[len(code) :]
+        digits = national if code and (code != "1" or len(national) == 10) else digits[-10:]
         return put(value, digits, self.characters("phone", "".join(value[i] for i in digits)))
 
     def card(self, value: str) -> str:
@@ -168,16 +193,54 @@ def _iban_ok(value: str) -> bool:
     return 15 <= len(x) <= 34 and mod97(x[4:] + x[:4]) == 1
 
 
+def whole(valid: Callable[[str], bool]) -> Callable[[str], int]:
+    return lambda v: len(v) if valid(v) else 0
+
+
+def group_ends(value: str) -> list[int]:
+    """Where the value may be cut: its end, then the ends of its groups from the last on."""
+    return [m.end() for m in re.finditer(r"\w+", value)][::-1]
+
+
+def _iban_fit(value: str) -> int:
+    """How much of the value is an IBAN: what has its country's length, else the longest valid cut."""
+    ends = sorted(group_ends(value), key=lambda e: len(value[:e].replace(" ", "")) != IBAN_LENGTHS.get(value[:2]))
+    return next((e for e in ends if _iban_ok(value[:e])), 0)
+
+
+def country_code(digits: str) -> str:
+    return next((digits[:n] for n in (1, 2, 3) if digits[:n] in COUNTRY_CODES), "")
+
+
+def _phone_fit(value: str) -> int:
+    if NATIONAL.fullmatch(value):
+        return len(value)
+    for end in group_ends(value):
+        digits = re.sub(r"[^0-9]", "", value[:end])
+        code = country_code(digits)
+        if code and 7 <= len(digits) <= 15 and (code != "1" or len(digits) == 11) and value[:end].count("(") == value[:end].count(")"):
+            return end
+    return 0
+
+
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20".split()}
+#: Assigned country codes of telephone numbers.
+COUNTRY_CODES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
+COUNTRY_CODES |= {str(n) for a, b in ((211, 213), (216, 216), (218, 218), (220, 258), (260, 269), (290, 291), (297, 299), (350, 359), (370, 378), (380, 383), (385, 387), (389, 389), (420, 421), (423, 423), (500, 509), (590, 599), (670, 670), (672, 683), (685, 692), (800, 800), (808, 808), (850, 850), (852, 853), (855, 856), (870, 870), (878, 878), (880, 883), (886, 886), (888, 888), (960, 968), (970, 977), (979, 979), (992, 996), (998, 998)) for n in range(a, b + 1)}
+NATIONAL = re.compile(r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}[ .-]?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}")
+
+
 # Kind: its shape (each is bounded in length, or starts only where a run of its characters starts, so
-# that scans are linear) and its validation. Earlier kinds win where matches overlap.
+# that scans are linear) and how much of a match is valid, 0 if nothing. Earlier kinds win where matches overlap.
 SHAPES = {
-    "email": (re.compile(r"(?<!\w)\w[\w.%+-]{0,63}@(?:[A-Za-z0-9][A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,63}(?![\w@])"), lambda v: True),
-    "iban": (re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)"), _iban_ok),
-    "date": (re.compile(r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\w/-]|\.[0-9])"), lambda v: date_order(v) is not None),
-    "ip": (re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\w|\.[0-9])"), lambda v: True),
-    "ssn": (re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"), _ssn_ok),
-    "phone": (re.compile(r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?!\w|-[0-9])|(?<![\w+])\+[0-9]{1,3}[ .-]?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?!\w|-[0-9])"), lambda v: True),
-    "card": (re.compile(r"(?<!\w)(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?!\w)"), lambda v: luhn(re.sub(r"[ -]", "", v))),
+    "email": (re.compile(r"(?<!\w)\w[\w.%+-]{0,63}@(?:[^\W_](?:[^\W_]|-){0,62}\.){1,8}[^\W\d_]{2,63}(?![\w@])"), len),
+    "iban": (re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)"), _iban_fit),
+    "date": (re.compile(r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?:(?=[Tt][0-9]{2}(?::?[0-9]{2}|(?!\w)))|(?![\w/-]|\.[0-9]))"), whole(lambda v: date_order(v) is not None)),
+    "ip": (re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\w|\.[0-9])"), len),
+    "ssn": (re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"), whole(_ssn_ok)),
+    "phone": (re.compile(rf"(?<![\w+])(?:{NATIONAL.pattern})(?!\w|-[0-9])|(?<![\w+])\+[1-9](?:[ .()/-]{{0,2}}[0-9]){{6,14}}(?!\w|-[0-9])"), _phone_fit),
+    "card": (re.compile(r"(?<!\w)(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?!\w)"), whole(lambda v: luhn(re.sub(r"[ -]", "", v)))),
 }
 DIGIT = re.compile(r"[0-9]")
 
@@ -186,11 +249,18 @@ def find(text: str) -> list[tuple[int, int, str]]:
     """Validated values by start; they don't overlap."""
     found: list[tuple[int, int, str]] = []
     at, digit = "@" in text, DIGIT.search(text) is not None
-    for kind, (shape, valid) in SHAPES.items():
+    for kind, (shape, fit) in SHAPES.items():
         if at if kind == "email" else digit:
-            starts = [a for a, _, _ in found]
-            free = lambda a, b, k: (not k or found[k - 1][1] <= a) and (k == len(starts) or starts[k] >= b)  # noqa: B023, E731
-            more = [(*m.span(), kind) for m in shape.finditer(text) if free(*m.span(), bisect_right(starts, m.start())) and valid(m.group())]
+            starts, more = [a for a, _, _ in found], []
+            m = shape.search(text)
+            while m:
+                a = m.start()
+                end, k = a + fit(m.group()), bisect_right(starts, a)
+                if end > a and (not k or found[k - 1][1] <= a) and (k == len(starts) or starts[k] >= end):
+                    more.append((a, end, kind))
+                else:
+                    end = a + 1  # a later start within the match may be valid
+                m = shape.search(text, end)
             found = sorted(found + more)
     return found
 
