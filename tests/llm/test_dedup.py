@@ -53,11 +53,36 @@ def test_keep_one(spark, docs):
 
 def test_directory_doubles(spark):
     keys = spark.range(20000).select(F.xxhash64("id").alias("key"))
-    slots = exact_dedup.directory(keys, capacity=500)
-    assert len(slots) & (len(slots) - 1) == 0 and set(slots) == set(range(max(slots) + 1))
-    loads = keys.groupBy(exact_dedup.bucket_of("key", slots).alias("b")).count().collect()
-    assert sum(r["count"] for r in loads) == 20000 and max(r["count"] for r in loads) <= 500
-    assert exact_dedup.directory(keys.limit(10)) == [0]
+    for leading in (16, 3):  # also where the counted bits are too few
+        depths = exact_dedup.directory(keys, capacity=500, leading=leading)
+        assert len(depths) & (len(depths) - 1) == 0
+        loads = keys.groupBy(exact_dedup.bucket_of("key", depths).alias("b")).count().collect()
+        assert sum(r["count"] for r in loads) == 20000 and max(r["count"] for r in loads) <= 500
+        # a bucket's number names its depth and its keys' first bits
+        top = keys.select(exact_dedup.bucket_of("key", depths).alias("b"), "key").collect()
+        assert all(r.b == (1 << (d := r.b.bit_length() - 1)) + ((r.key & 2**64 - 1) >> 64 - d) for r in top)
+    assert exact_dedup.directory(keys.limit(10)) == [0] == exact_dedup.directory(keys.limit(0))
+
+
+def test_index_on_files(spark, docs, tmp_path):
+    """Buckets are folders, the directory is stored, and a lookup opens only the buckets it needs."""
+    many = spark.range(400).selectExpr("id AS doc_id", "concat('text ', id % 300) AS text")
+    counts = exact_dedup.entries_of(many).groupBy("key").agg(F.count("*").alias("n"))
+    made = exact_dedup.build_index(many, counts, f"file://{tmp_path}/index", capacity=20)
+    index = exact_dedup.Index.at(spark, made.path)
+    assert index.depths == made.depths and index.entries().count() == 300
+    files = {f.rpartition("/")[0] for f in index.entries().inputFiles()}
+    assert len(files) == index.entries().select("bucket").distinct().count() >= 15
+    asked = spark.createDataFrame([(1, "text7"), (2, "te xt 7"), (3, "unknown"), (4, None)], "doc_id long, text string")
+    found = exact_dedup.lookup(asked, index)
+    assert sorted((r.doc_id, r.group_size, r.keep_id) for r in found.collect()) == [(1, 2, 7), (2, 2, 7), (3, None, None), (4, None, None)]
+    assert "PartitionFilters: [isnotnull(bucket" in found._jdf.queryExecution().executedPlan().toString() or "bucket#" in found._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [", 1)[1].split("]")[0]
+
+
+def test_hot_keys_and_extreme_ids(spark):
+    rows = [(i, "hot copy", 0) for i in range(3000)] + [(-(2**63), "low", 0), (2**63 - 1, "low", 0), (None, "low", 0)]
+    got = exact_dedup.decisions(spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(5), hot=100).collect()
+    assert len(got) == 3003 and {(r.keep_id, r.group_size) for r in got} == {(0, 3000), (-(2**63), 3)} and sum(r.kept for r in got) == 2
 
 
 def test_colliding_keys_chain(spark, monkeypatch):
