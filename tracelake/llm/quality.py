@@ -5,13 +5,16 @@ is the unlabelled web text. A small network minimises the non-negative unbiased
 
     prior * R_pos(+) + max(0, R_unl(-) - prior * R_pos(-))
 
-where the class prior is estimated: the share of 1 among the fold's labelled documents, less half its
-standard error. A prior that is a little low leaves the best decision as it is (it would take less than
-half the true prior to change it), while one that is too high makes the negative risk meaningless.
+where the class prior is estimated from the same two samples. A network that tells positives from
+unlabelled text is fitted on one half of them and scores the other half. Above any cut lies a share a of
+the unlabelled and a share b of the positives; since the unlabelled share holds prior * b positives at
+least, a / b bounds the prior, and the least such bound (with its margin of chance) is the estimate. No
+negative label is read. A prior that is a little low leaves the best decision as it is, while one that is
+too high makes the negative risk meaningless; so half the margin is taken off.
 
 Features describe a text's make-up (bytes, words, lines), computed over the whole text; labels, lang,
-source and doc_id are no inputs. The model is fitted on at most SAMPLE positives and SAMPLE unlabelled
-documents, those whose ids hash lowest; every document is scored.
+source and doc_id are no inputs. The model is fitted on at most SAMPLE positive and SAMPLE unlabelled
+rows, those whose ids hash lowest, however many rows repeat an id; every document is scored.
 
 Null text is the empty text and is scored as such. A null doc_id counts as the id "" and is held out.
 Repeated rows are scored one by one; a document with several labels is positive if one of them is 1.
@@ -82,9 +85,10 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(x), -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, steps: int = 800, batch: int = 4096, rate: float = 0.02, decay: float = 1e-3, seed: int = 7) -> Model:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, hidden: int = 24, steps: int = 800, batch: int = 4096, rate: float = 0.02, decay: float = 1e-3, seed: int = 7) -> Model:
     """Minimise the non-negative unbiased risk by Adam. The loss is the sigmoid loss, which is bounded:
-    with it a batch's estimate of the negative risk is steady, also where the prior is high."""
+    with it a batch's estimate of the negative risk is steady, also where the prior is high. Without a
+    prior it tells positives from unlabelled rows, both weighing the same."""
     rng = np.random.default_rng(seed)
     every = np.concatenate([positive, unlabelled])
     mean, scale = every.mean(0), every.std(0) + 1e-3
@@ -99,7 +103,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
         h = np.tanh(x @ a + b)
         y = 1 / (1 + np.exp(-np.clip(h @ c + e, -30, 30)))  # also the loss as a negative; 1 - y as a positive
         slope = y * (1 - y)
-        if y[n:].mean() - prior * y[:n].mean() >= 0:
+        if prior is None:
+            g = np.concatenate([-slope[:n] / n, slope[n:] / m])
+        elif y[n:].mean() - prior * y[:n].mean() >= 0:
             g = np.concatenate([-2 * prior * slope[:n] / n, slope[n:] / m])
         else:  # the negative risk must not fall further: walk it back
             g = np.concatenate([prior * slope[:n] / n, -slope[n:] / m])
@@ -118,7 +124,7 @@ def held_out():
 
 
 def _sampled(docs: DataFrame, ids: DataFrame, sample: int) -> np.ndarray:
-    """Features of at most `sample` documents, by the hash of their ids."""
+    """Features of at most `sample` rows, by the hash of their ids."""
     chosen = ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = texts(docs).join(F.broadcast(chosen), "doc_id", "left_semi")  # at most `sample` ids
 
@@ -127,26 +133,41 @@ def _sampled(docs: DataFrame, ids: DataFrame, sample: int) -> np.ndarray:
             x = [features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "x": pa.array(x, pa.list_(pa.float32()))})
 
-    got = rows.mapInArrow(run, "doc_id long, x array<float>").toArrow().sort_by("doc_id")
+    # Rows that repeat an id may be more than the ids: what reaches the driver is bounded by rows.
+    every = rows.mapInArrow(run, "doc_id long, x array<float>")
+    got = every.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(sample).toArrow()
     return np.array(got.column("x").to_pylist(), np.float64).reshape(-1, N_FEATURES)
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Learned from the training fold alone; None where it has no positive document."""
-    known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(~held_out())
-    share, n = known.agg(F.avg(F.col("quality").cast("double")), F.count("*")).first()
+    positive = labels.where("doc_id is not null and quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).where(~held_out())
     fold = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").where(~held_out())
-    positive = known.where("quality = 1").select("doc_id")
     p = _sampled(docs, fold.join(positive, "doc_id", "left_semi"), sample)
     if not len(p):
         return None
     u = _sampled(docs, fold, sample)
-    return fit(p, u, careful_prior(share, n, len(u)))
+    return fit(p, u, estimated_prior(p, u))
 
 
-def careful_prior(share: float, n_labelled: int, n_unlabelled: int) -> float:
-    error = np.sqrt(share * (1 - share) * (1 / n_labelled + 1 / n_unlabelled))
-    return float(np.clip(share - error / 2, share / 2 + 0.01, 0.99))
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 3) -> float:
+    """The share of positives among the unlabelled, from these two samples alone. Each half is scored by
+    a network fitted on the other; the least bound over all cuts that leave a twentieth of the positives
+    above them, less half its margin."""
+    rng = np.random.default_rng(seed)
+    p, u = (x[rng.permutation(len(x))] for x in (positive, unlabelled))
+    if min(len(p), len(u)) < 20:
+        return 0.5
+    ps, us = np.empty(len(p)), np.empty(len(u))
+    for k in (0, 1):
+        model = fit(p[k::2], u[k::2], None, steps=300)
+        ps[1 - k :: 2], us[1 - k :: 2] = model.logits(p[1 - k :: 2]), model.logits(u[1 - k :: 2])
+    cuts = np.sort(ps)[: -max(1, len(ps) // 20)]
+    above_p = 1 - np.searchsorted(np.sort(ps), cuts, "left") / len(ps)
+    above_u = 1 - np.searchsorted(np.sort(us), cuts, "left") / len(us)
+    margin = (np.sqrt(np.log(20) / (2 * len(us))) + np.sqrt(np.log(20) / (2 * len(ps)))) / above_p
+    best = (above_u / above_p + margin).argmin()
+    return float(np.clip(above_u[best] / above_p[best] - margin[best] / 2, 0.02, 0.98))
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
