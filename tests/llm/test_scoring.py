@@ -88,3 +88,41 @@ def test_gradients():
         down = loss()
         w[at] = kept
         assert abs((up - down) / 2e-2 - g[at]) < 0.05 * abs(g[at]) + 1e-3
+
+
+def test_prior_from_positives_and_unlabelled():
+    rng = np.random.default_rng(2)
+    for share in (0.3, 0.75):
+        n = 6000
+        u = np.where(rng.random((n, 1)) < share, rng.normal(2, 1, (n, 5)), rng.normal(-2, 1, (n, 5)))
+        assert share - 0.1 < quality.estimated_prior(rng.normal(2, 1, (n, 5)), u) < share + 0.03
+
+
+def test_one_id_on_many_rows_stays_within_the_sample(spark, labels):
+    good = labels.where("quality = 1").collect()
+    one = next(r.doc_id for r in good if zlib.crc32(str(r.doc_id).encode()) % 5)
+    docs = spark.range(20_000).selectExpr(f"{one}L AS doc_id", "concat('text ', id) AS text", "'en' AS lang")
+    ids = docs.select("doc_id")
+    assert len(quality._sampled(docs, ids, 10)) == 10
+
+
+def test_language_learns_from_null_ids_and_rare_short_texts(spark, docs, monkeypatch):
+    seen = {}
+    real = language.train
+    monkeypatch.setattr(language, "train", lambda x, y, n: seen.update(n=len(x)) or real(x, y, n, steps=150))
+    nameless = docs.selectExpr("cast(null as long) doc_id", "text", "lang")
+    rare = spark.createDataFrame([(1, "这是", "zh"), (3, "中文字", "zh")], "doc_id long, text string, lang string")
+    got = language.predict(nameless.unionByName(rare)).collect()
+    assert {r.lang_pred for r in got if r.doc_id is not None} == {"zh"}
+    known = [r.lang_pred for r in got if r.doc_id is None]
+    assert len(set(known)) >= 4 and seen["n"] <= language.WINDOWS + 5 * language.SAMPLE
+    numbers = spark.createDataFrame([(5, "½ ²", None), (6, "Ⅷ ①", None)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in language.predict(rare.unionByName(numbers)).where("doc_id in (5, 6)").collect()} == {"und"}
+
+
+def test_language_sample_is_bounded_by_rows(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(language, "train", lambda x, y, n: seen.update(n=len(x)))
+    docs = spark.range(20_000).selectExpr("1L AS doc_id", "'one and the same text of some length' AS text", "'en' AS lang")
+    language.learn(docs, 10)
+    assert 0 < seen["n"] <= 10 * max(1, language.TRAIN_WINDOWS // 10)

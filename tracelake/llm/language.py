@@ -5,17 +5,19 @@ widths run over a window, the largest value of each filter is kept, and a softma
 follows. The network is trained in numpy on labelled texts. A text's prediction sums the windows'
 log-probabilities, weighted by their bytes, over the whole text.
 
-Training takes windows of at most SAMPLE documents a language, those whose ids hash lowest, from rows
-with a language and crc32(doc_id as text) mod 4 other than 2. Languages are what these rows name.
-lang, source and doc_id are no inputs of a prediction.
-
-`und` with score 0 is the answer for null text, text without a letter, and where nothing could be learned.
-A null doc_id counts as the id "". Repeated rows are predicted one by one. An empty table gives no rows.
+Training takes windows of at most SAMPLE rows a language, those whose id and text hash lowest, from rows
+with a language and crc32(doc_id as text) mod 4 other than 2 (a null doc_id counts as the id ""). Languages
+are what these rows name. A language's windows are spread over its rows, more of each row where rows are
+few; all languages share a budget of WINDOWS windows, and weigh the same in training. Windows of under
+16 bytes count only for a language that has few others. lang, source and doc_id are no inputs of a
+prediction.
+
+`und` with score 0 is the answer for null text, text without a letter (number signs such as "½" are none),
+and where nothing could be learned. Repeated rows are predicted one by one. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import id_crc
+from tracelake.llm.common import broadcast_if_small, id_crc
 from tracelake.llm.tokens import slices
 
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 256, (2, 3, 4), 16, 12
-SAMPLE, TRAIN_WINDOWS = 1500, 6000
-LETTER = re.compile(r"[^\W\d_]")
+SAMPLE, TRAIN_WINDOWS, WINDOWS = 1500, 6000, 60_000
 PAD = 256
 PLACES = WINDOW - max(WIDTHS) + 1  # of every filter in a window
 
@@ -105,13 +106,14 @@ def windows_of(data: bytes) -> np.ndarray:
 
 
 def train(windows: np.ndarray, y: np.ndarray, n_langs: int, steps: int = 1200, batch: int = 64, rate: float = 0.004, seed: int = 11) -> Network:
-    """Adam on the softmax loss, over the windows again and again."""
+    """Adam on the softmax loss, over the windows again and again; rarer languages' windows come oftener."""
     rng = np.random.default_rng(seed)
     net, step = Network(n_langs, rng), 0
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in net.parameters()]
-    order = np.zeros(0, int)
+    order, counts = np.zeros(0, int), np.bincount(y, minlength=n_langs)
+    places = np.concatenate([np.resize(np.flatnonzero(y == k), counts.max()) for k in range(n_langs) if counts[k]])
     while step < steps:
-        order, step = (order if len(order) >= batch else np.concatenate([order, *(rng.permutation(len(windows)) for _ in range(1 + batch // len(windows)))])), step + 1
+        order, step = (order if len(order) >= batch else np.concatenate([order, *(rng.permutation(places) for _ in range(1 + batch // len(places)))])), step + 1
         part, order = order[:batch], order[batch:]
         now = rate * (1 - step / (steps + 1))
         for w, g, (m, v) in zip(net.parameters(), net.gradients(windows[part].astype(np.int64), y[part]), moments):
@@ -127,38 +129,40 @@ def held_out():
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[Network | None, list[str]]:
     """The network and its languages, in alphabetical order."""
-    rows = docs.select("doc_id", "lang", "text").where("lang is not null and text is not null").where(~held_out())
-    # A language's sample is its documents below a hash bound that its count fixes, then the lowest of these.
-    place = Window.partitionBy("lang").orderBy("h", "doc_id")
-    narrow = docs.where("lang is not null and text is not null").where(~held_out()).select("doc_id", "lang", F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(1)).alias("h"))
-    counts = narrow.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.lit(2.0 * sample) / F.col("n")
-    near = narrow.join(F.broadcast(counts), "lang").where((F.col("h").cast("double") / 2.0**64 + 0.5) < share)  # a row a language
-    chosen = near.withColumn("place", F.row_number().over(place)).where(F.col("place") <= sample).select("doc_id", "lang")
-    got = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text")  # at most `sample` a language
-    # Of each document a few windows, spread over it; more where there are few documents.
+    fold = docs.where("lang is not null and text is not null").where(~held_out())
+    rows = fold.select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("doc_id", "text").alias("h"))
+    counts = fold.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n"))
     known = {r["lang"]: r["n"] for r in counts.collect()}
-    langs, fewest = sorted(known), min(known.values(), default=1)
-    per = max(1, TRAIN_WINDOWS // max(1, min(sample, fewest)))
+    langs = sorted(known)
+    if not langs:
+        return None, langs
+    windows = max(1, min(TRAIN_WINDOWS, WINDOWS // len(langs)))
+    sample = min(sample, windows)
+    # The hash up to which a language's rows are taken: its sample-th lowest. What ties there is cut below.
+    place = lambda *order: F.row_number().over(Window.partitionBy("lang").orderBy(*order)).alias("place")
+    lowest = rows.select("lang", "h", place("h")).where(F.col("place") <= sample)
+    bounds = counts.join(lowest.groupBy("lang").agg(F.max("h").alias("bound")), "lang")
+    near = rows.join(broadcast_if_small(bounds), "lang").where(F.col("h") <= F.col("bound"))
+    chosen = near.withColumn("per", F.greatest(F.lit(1), F.lit(windows) / F.least("n", F.lit(sample))).cast("int"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             kept = []
-            for text in batch.column("text").to_pylist():
+            for text, per in zip(batch.column("text").to_pylist(), batch.column("per").to_pylist()):
                 every = windows_of(text.encode())
                 kept.append(every[np.unique(np.linspace(0, len(every) - 1, per).astype(int))].astype("<i2").tobytes())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "w": pa.array(kept, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "h": batch.column("h"), "w": pa.array(kept, pa.binary())})
 
-    table = got.mapInArrow(pick, "doc_id long, lang string, w binary").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
-    if not table.num_rows or not langs:
-        return None, langs
+    picked = chosen.select("lang", "text", "h", "per").mapInArrow(pick, "lang string, h long, w binary")
+    table = picked.select("lang", "w", place("h", "w")).where(F.col("place") <= sample).toArrow().sort_by([("lang", "ascending"), ("place", "ascending")])
     parts = [np.frombuffer(w, "<i2").reshape(-1, WINDOW) for w in table.column("w").to_pylist()]
+    if not parts:
+        return None, langs
     y = np.repeat([langs.index(x) for x in table.column("lang").to_pylist()], [len(x) for x in parts])
     x = np.concatenate(parts)
     full = (x != PAD).sum(1) >= 16
-    if full.sum() >= len(langs):
-        x, y = x[full], y[full]
-    return train(x, y, len(langs)), langs
+    full |= np.bincount(y, full, len(langs))[y] < 8
+    return train(x[full], y[full], len(langs)), langs
 
 
 def predict(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -168,7 +172,7 @@ def predict(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=500_000):
             texts = batch.column("text").to_pylist()
-            known = [i for i, x in enumerate(texts) if net is not None and x and LETTER.search(x)]
+            known = [i for i, x in enumerate(texts) if net is not None and x and any(map(str.isalpha, x))]
             pred, score = ["und"] * len(texts), np.zeros(len(texts))
             if known:
                 parts = [windows_of(texts[i].encode()) for i in known]
