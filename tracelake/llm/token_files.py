@@ -9,10 +9,12 @@ Layout of a file, all numbers little-endian:
                          documents: i64 id, u8 whether the id is null, u64 ids
     footer               u64 offset of the seek table, 8 bytes of magic
 
-A document lies in one frame, so a reader fetches the footer, the table and the frames it wants.
+Every document is a frame of its own unless a writer is told to gather more ids a frame, so a reader
+fetches the footer, the table and the frames of the documents it wants, and decompresses nothing else.
 
 Null text is the empty text (its one id is the end id). A null doc_id sorts first. Rows that repeat a
-doc_id are stored one by one, in the order of their texts' hashes. An empty table gives no file.
+doc_id are stored one by one, in the order of their texts' hashes; rows alike in both may be dealt to
+several files. An empty table gives no file.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from tracelake.llm.common import new_path, partitions, texts, written
 from tracelake.llm.tokens import encoder, slices
 
 MAGIC = b"TLTOKEN1"
-SKIPPABLE = 0x184D2A50
-FRAME_IDS = 1 << 17
+SKIPPABLE, BATCH = 0x184D2A50, 1 << 20
+FRAME_IDS = 1  # a frame closes behind the document that brings it to so many ids
 
 
 def _open(path: str):
@@ -135,7 +137,7 @@ class Reader:
         return [dict(self.documents(int(np.searchsorted(self.first, i, "right")) - 1))[int(i)] for i in rows]
 
 
-MANIFEST = "file string, n_docs long, n_tokens long, first_id long, first_hash long"
+MANIFEST = "file string, n_docs long, n_tokens long, first_id long, first_hash long, first_tie int"
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 0, id_bytes: int | None = None, added: bool = False) -> DataFrame:
@@ -152,15 +154,17 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
         for batch in slices(batches):
             if out is None:
                 path = f"{folder}/{uuid.uuid4().hex}.tok"
-                out, first = Writer(path, id_bytes or (2 if max(codec.top_id, end_id) < 1 << 16 else 4)), (batch.column("doc_id")[0].as_py(), batch.column("h")[0].as_py())
+                out, first = Writer(path, id_bytes or (2 if max(codec.top_id, end_id) < 1 << 16 else 4)), [batch.column(c)[0].as_py() for c in ("doc_id", "h", "tie")]
             ids, lengths = codec.encode(batch.column("text").to_pylist(), end_id, added)
             out.add(ids, batch.column("doc_id").to_pylist(), lengths)
             n_docs, n_tokens = n_docs + batch.num_rows, n_tokens + len(ids)
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_pydict({"file": [path], "n_docs": [n_docs], "n_tokens": [n_tokens], "first_id": pa.array([first[0]], pa.int64()), "first_hash": [first[1]]})
+            yield pa.RecordBatch.from_pydict({"file": [path], "n_docs": [n_docs], "n_tokens": [n_tokens], "first_id": pa.array([first[0]], pa.int64()), "first_hash": [first[1]], "first_tie": pa.array([first[2]], pa.int32())})
 
-    dealt = texts(docs).withColumn("h", F.xxhash64("text")).repartitionByRange(partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h")
+    # `tie` lets rows that are alike be split over files; which of them goes where makes no difference.
+    keyed = texts(docs).withColumn("h", F.xxhash64("text")).withColumn("tie", F.pmod(F.monotonically_increasing_id(), F.lit(1024)).cast("int"))
+    dealt = keyed.repartitionByRange(partitions(spark), "doc_id", "h", "tie").sortWithinPartitions("doc_id", "h", "tie")
     return written(dealt.mapInArrow(write, MANIFEST), "token-manifest")
 
 
@@ -173,12 +177,16 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
             for path, base in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist()):
                 file = Reader(path)
                 starts = base + np.concatenate([[0], np.cumsum(file.lengths, dtype=np.int64)])
+                rows, size, a = [], 0, 0
                 for k in range(len(file.frames[0])):
-                    rows = list(file.documents(k))
-                    a, b = int(file.first[k]), int(file.first[k + 1])
-                    ids = pa.array(file.doc_ids[a:b], mask=file.null[a:b].astype(bool))
-                    yield pa.RecordBatch.from_pydict({"doc_id": ids, "start": pa.array(starts[a:b]), "n_tokens": pa.array(file.lengths[a:b].astype(np.int64)), "ids": pa.array([x.tobytes() for _, x in rows], pa.binary())})
-
-    order = Window.orderBy(F.col("first_id").asc_nulls_first(), "first_hash").rowsBetween(Window.unboundedPreceding, -1)
+                    rows += [x.tobytes() for _, x in file.documents(k)]
+                    size += 4 * int(file.lengths[file.first[k] : file.first[k + 1]].sum())
+                    if size >= BATCH or k + 1 == len(file.frames[0]):
+                        b = int(file.first[k + 1])
+                        ids = pa.array(file.doc_ids[a:b], mask=file.null[a:b].astype(bool))
+                        yield pa.RecordBatch.from_pydict({"doc_id": ids, "start": pa.array(starts[a:b]), "n_tokens": pa.array(file.lengths[a:b].astype(np.int64)), "ids": pa.array(rows, pa.binary())})
+                        rows, size, a = [], 0, b
+
+    order = Window.orderBy(F.col("first_id").asc_nulls_first(), "first_hash", "first_tie").rowsBetween(Window.unboundedPreceding, -1)
     based = manifest.select("file", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("base"))
     return based.repartition(partitions(manifest.sparkSession)).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
