@@ -33,7 +33,6 @@ def expected(codec_ids):
 
 def hf():
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     return lambda x: t.encode(x, add_special_tokens=False).ids
 
 
@@ -47,10 +46,12 @@ def test_split_like_the_pattern():
 
 
 def test_token_files_round_trip(spark, docs, tmp_path):
-    manifest = token_files.write_token_files(docs, JSON, f"file://{tmp_path}")
+    manifest = token_files.write_token_files(docs, JSON, added=True, folder=f"file://{tmp_path}")
     got = token_files.read_token_files(manifest).collect()
     encode = hf()
     assert sorted(((r.doc_id is not None, r.doc_id or 0, np.frombuffer(r.ids, "<u4").tolist()) for r in got), key=repr) == expected(lambda t: [*encode(t), 0])
+    files = [token_files.Reader(r.file) for r in manifest.collect()]
+    assert sum(len(x.frames[0]) for x in files) == len(got)  # a frame a document
     upto = 0
     for r in sorted(got, key=lambda r: r.start):
         assert r.start == upto and r.n_tokens == len(r.ids) // 4
@@ -105,7 +106,7 @@ def check_packing(rows, ids_of, window):
 
 def test_packing(spark, docs):
     encode = hf()
-    rows = packing.pack(docs, JSON, window=128).collect()
+    rows = packing.pack(docs, JSON, window=128, added=True).collect()
     check_packing(rows, encode, 128)
     # Every document's ids are covered once: rows with one doc_id may be several documents.
     total = sorted((r.doc_id is not None, r.doc_id or 0, r.start, r.length) for r in rows)
@@ -114,8 +115,10 @@ def test_packing(spark, docs):
     assert sum((one[k] for k in sorted(one)), []) == [*encode(TEXTS[5]), 0]
 
 
-def test_packing_wastes_little(spark, sf):
-    rows = packing.pack(spark.read.parquet(f"{sf}/documents.parquet"), JSON).collect()
+@pytest.mark.parametrize("n", [1, 150])
+def test_packing_wastes_little(spark, sf, n):
+    """Also where each partition has a row or two."""
+    rows = packing.pack(spark.read.parquet(f"{sf}/documents.parquet").repartition(n), JSON).collect()
     used = check_packing(rows, None, 1024)
     assert sum(r.length for r in rows) > 0.98 * 1024 * (len(used) - 1)
 
