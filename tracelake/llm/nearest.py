@@ -18,9 +18,12 @@ is kept exactly beside the code. Vectors are centred first, which changes no dis
 A block carries its vectors, in four bytes a component where that is exact. Where codes tell vectors
 apart badly, most of a block is reranked: time, not results, depends on the data.
 
-Vectors that are null, zero, of another length than most, or hold null or non-finite components take no
-part, nor do rows with a null id. Rows that repeat an id are candidates one by one; a query's own id is
-no candidate of it. Where there are fewer candidates, all are returned. Empty tables give no rows.
+Vectors that are null, zero, empty, or hold null or non-finite components take no part, nor do rows with
+a null id. A distance needs equal lengths: a query's candidates are the vectors of its own length, and each
+length has blocks of its own; lengths of which the sample holds under CENTRES vectors are compared without
+codes. Queries that share a vec_id with other rows are searched one by one, each with ranks of its own, and
+no candidate is left out but the query's own row: for a query of another table, one row with its id and its
+vector. Where there are fewer candidates, all are returned. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -39,12 +42,10 @@ SAMPLE, BLOCK, QUERY_BLOCK, RERANK = 10_000, 2048, 256, 200
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and v (array of double) of the vectors that take part."""
+    """vec_id and v (array of double, of any length) of the vectors that take part."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = rows.where(finite & F.exists("v", lambda x: x != 0))
-    common = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    return rows.where(F.size("v") == (common["d"] if common else 0))
+    return rows.where(finite & F.exists("v", lambda x: x != 0))
 
 
 class Quantiser:
@@ -118,17 +119,20 @@ class Quantiser:
         return np.einsum("qsd,scd->qsc", parts, self.books).astype(np.float32)
 
 
-def _matrix(column: pa.Array, d: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-
-
 def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Of each row of x to q; a row's result doesn't depend on the other rows, so copies tie."""
     return np.sqrt(((x - q) ** 2).sum(1))
 
 
-def block_nearest(model: Quantiser, ids: np.ndarray, x: np.ndarray, packed: np.ndarray, sizes: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int, rerank: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each query the exact k nearest of a block: ids and distances."""
+def block_nearest(model: Quantiser | None, ids: np.ndarray, x: np.ndarray, packed: np.ndarray, sizes: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int, rerank: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query the exact k + 1 nearest of a block, the query's own row among them: ids and distances."""
+    k += 1
+    if model is None:
+        for i in range(len(q)):
+            near = distances(x, q[i])
+            best = nearest_first(ids, near, q_ids[i], k)
+            yield ids[best], near[best]
+        return
     codes = np.empty((model.subs + model.subs % 2, len(ids)), np.intp)
     codes[::2], codes[1::2] = packed.T & 15, packed.T >> 4
     half, coded, error = sizes
@@ -137,96 +141,112 @@ def block_nearest(model: Quantiser, ids: np.ndarray, x: np.ndarray, packed: np.n
         product = np.zeros(len(ids), np.float32)
         for s in range(model.subs):
             product += tables[i, s][codes[s]]
-        mine = ids == q_id
-        score = np.where(mine, -np.inf, product - half)
+        score = product - half
         first = np.argpartition(-score, rerank)[:rerank] if len(score) > rerank else np.arange(len(score))
-        first = first[~mine[first]]
         near = distances(x[first], q[i])
         if len(first) < len(ids):
-            worst = np.partition(near, k - 1)[k - 1] if len(near) >= k else np.inf
+            worst = np.partition(near, k - 1)[k - 1]
             length = (centred[i] ** 2).sum()
             slack = 1e-6 * (model.subs + 8) * (np.sqrt(length) + np.sqrt(coded)) ** 2  # for sums in four bytes
             least = np.sqrt(np.maximum(length + coded - 2.0 * product - slack, 0)) - error
-            rest = ~mine & ~(least > worst * (1 + 1e-9))
+            rest = ~(least > worst * (1 + 1e-9))
             rest[first] = False
             rest = np.flatnonzero(rest)
             first, near = np.concatenate([first, rest]), np.concatenate([near, distances(x[rest], q[i])])
-        best = np.lexsort((ids[first], near))[:k]
+        best = nearest_first(ids[first], near, q_id, k)
         yield ids[first[best]], near[best]
 
 
+def nearest_first(ids: np.ndarray, near: np.ndarray, q_id: int, k: int) -> np.ndarray:
+    """Places of the query's own row, if it is here, and then of the nearest, ties to the smaller id: k in all."""
+    later = np.ones(len(ids), bool)
+    later[np.flatnonzero((ids == q_id) & (near == 0))[:1]] = False
+    return np.lexsort((ids, near, later))[:k]
+
+
 def nearest_rows(data: DataFrame, queries: DataFrame, k: int, rerank: int) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest a query. data, queries: of usable()."""
     spark = data.sparkSession
-    sample = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
-    if not sample.num_rows:
-        return queries.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
-    sample = sample.sort_by("vec_id")
-    model = Quantiser(np.array(sample.column("v").to_pylist()))
-    d = len(model.centre)
+    sample = data.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).toArrow()
+    by_length: dict[int, list] = {}
+    for v in sample.column("v").to_pylist():
+        by_length.setdefault(len(v), []).append(v)
+    models = {d: Quantiser(np.array(x)) for d, x in by_length.items() if len(x) >= CENTRES}
+
+    def of_one_length(batch: pa.RecordBatch, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Blocks of vectors of one length: the length, the ids, the vectors."""
+        column = batch.column("v")
+        lengths = np.diff(column.offsets.to_numpy())
+        for d in np.unique(lengths).tolist():
+            rows = np.flatnonzero(lengths == d)
+            for a in range(0, len(rows), most):
+                part = rows[a : a + most]
+                yield d, batch.column("vec_id").to_numpy()[part].astype("<i8"), column.take(pa.array(part)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(a, BLOCK)
-                x = _matrix(part.column("v"), d)
-                codes, sizes = model.encode(x)
+            for d, ids, x in of_one_length(batch, BLOCK):
+                codes, sizes = models[d].encode(x) if d in models else (np.zeros(0, np.uint8), np.zeros((3, 0)))
                 with np.errstate(over="ignore"):
                     short = x.astype("<f4")
                 x = short if (short == x).all() else x
-                yield pa.RecordBatch.from_pydict({"ids": [part.column("vec_id").to_numpy().astype("<i8").tobytes()], "codes": [codes.tobytes()], "sizes": [sizes.tobytes()], "x": [x.tobytes()]})
+                yield pa.RecordBatch.from_pydict({"d": pa.array([d], pa.int32()), "ids": [ids.tobytes()], "codes": [codes.tobytes()], "sizes": [sizes.tobytes()], "x": [x.tobytes()]})
 
     n = partitions(spark)
-    blocks = data.mapInArrow(index, "ids binary, codes binary, sizes binary, x binary")
+    blocks = data.mapInArrow(index, "d int, ids binary, codes binary, sizes binary, x binary")
     blocks = written(blocks.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(n))), "codes")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, QUERY_BLOCK):
-                part = batch.slice(a, QUERY_BLOCK)
-                yield pa.RecordBatch.from_pydict({"q_ids": [part.column("vec_id").to_numpy().astype("<i8").tobytes()], "q": [_matrix(part.column("v"), d).tobytes()]})
+            for d, ids, q in of_one_length(batch, QUERY_BLOCK):
+                yield pa.RecordBatch.from_pydict({"d": pa.array([d], pa.int32()), "q_ids": [ids.tobytes()], "q": [q.tobytes()]})
 
-    asked = written(queries.mapInArrow(pack, "q_ids binary, q binary"), "query-blocks")
+    # A written block's name and a query's place in it tell queries apart that share an id.
+    asked = written(queries.mapInArrow(pack, "d int, q_ids binary, q binary").withColumn("q_block", F.monotonically_increasing_id()), "query-blocks")
     everywhere = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("ids", "codes", "sizes", "x", "q_ids", "q")}
-                ids, q_ids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
+                row = {c: batch.column(c)[i].as_py() for c in ("d", "ids", "codes", "sizes", "x", "q_block", "q_ids", "q")}
+                d, ids, q_ids = row["d"], np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
                 x = np.frombuffer(row["x"], "<f4" if len(row["x"]) == 4 * d * len(ids) else "<f8").astype(np.float64).reshape(len(ids), d)
                 packed, sizes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(row["sizes"]).reshape(3, -1)
-                found = block_nearest(model, ids, x, packed, sizes, q_ids, np.frombuffer(row["q"]).reshape(len(q_ids), d), k, rerank)
-                rows = [(int(q_id), a.tobytes(), b.tobytes()) for q_id, (a, b) in zip(q_ids, found)]
-                yield pa.RecordBatch.from_pydict(dict(zip(("query_id", "ids", "scores"), map(list, zip(*rows)))))
-
-    met = everywhere.join(blocks, "part").select("ids", "codes", "sizes", "x", "q_ids", "q")
-    each = met.mapInArrow(scan, "query_id long, ids binary, scores binary")
-    dealt = each.repartition(n, "query_id").sortWithinPartitions("query_id")
+                found = block_nearest(models.get(d), ids, x, packed, sizes, q_ids, np.frombuffer(row["q"]).reshape(len(q_ids), d), k, rerank)
+                rows = [(row["q_block"], j, int(q_id), a.tobytes(), b.tobytes()) for j, (q_id, (a, b)) in enumerate(zip(q_ids, found))]
+                yield pa.RecordBatch.from_pydict(dict(zip(("q_block", "place", "query_id", "ids", "scores"), map(list, zip(*rows)))), schema=found_schema)
+
+    found_schema = pa.schema([("q_block", pa.int64()), ("place", pa.int32()), ("query_id", pa.int64()), ("ids", pa.binary()), ("scores", pa.binary())])
+    met = everywhere.join(blocks, ["part", "d"]).select("d", "ids", "codes", "sizes", "x", "q_block", "q_ids", "q")
+    each = met.mapInArrow(scan, "q_block long, place int, query_id long, ids binary, scores binary")
+    dealt = each.repartition(n, "q_block", "place").sortWithinPartitions("q_block", "place")
     return dealt.mapInArrow(merging(k), "query_id long, rank int, vec_id long, score double")
 
 
 def merging(k: int):
-    """For rows sorted by query: the nearest of all its rows. It holds one query's nearest so far."""
+    """For rows sorted by query: the nearest of all its rows but one that is the query's own. It holds one
+    query's nearest so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query, ids, scores = None, None, None
+        query, q_id, ids, scores = None, None, None, None
 
         def best():
-            order = np.lexsort((ids, scores))[:k]
-            return pa.RecordBatch.from_pydict({"query_id": pa.array(np.full(len(order), query)), "rank": pa.array(np.arange(1, len(order) + 1, dtype=np.int32)), "vec_id": pa.array(ids[order]), "score": pa.array(scores[order])})
+            order = nearest_first(ids, scores, q_id, k + 1)
+            own = len(order) and ids[order[0]] == q_id and scores[order[0]] == 0
+            order = order[1:] if own else order[:k]
+            return pa.RecordBatch.from_pydict({"query_id": pa.array(np.full(len(order), q_id)), "rank": pa.array(np.arange(1, len(order) + 1, dtype=np.int32)), "vec_id": pa.array(ids[order]), "score": pa.array(scores[order])})
 
         for batch in batches:
-            for q, i, s in zip(*(batch.column(c).to_pylist() for c in ("query_id", "ids", "scores"))):
+            for b, p, q, i, s in zip(*(batch.column(c).to_pylist() for c in ("q_block", "place", "query_id", "ids", "scores"))):
                 i, s = np.frombuffer(i, "<i8"), np.frombuffer(s)
-                if q != query:
+                if (b, p) != query:
                     if query is not None:
                         yield best()
-                    query, ids, scores = q, i, s
+                    query, q_id, ids, scores = (b, p), q, i, s
                 else:
                     ids, scores = np.concatenate([ids, i]), np.concatenate([scores, s])
-                    if len(ids) > 20 * k:
-                        order = np.lexsort((ids, scores))[:k]
+                    if len(ids) > 20 * (k + 1):
+                        order = nearest_first(ids, scores, q_id, k + 1)
                         ids, scores = ids[order], scores[order]
         if query is not None:
             yield best()
@@ -238,4 +258,4 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = RE
     """query_id, rank (from 1), vec_id, score: each query's k nearest, nearest first, ties to the smaller
     vec_id; score is the Euclidean distance of the original vectors in double precision. rerank: how many
     of a block are reranked before the bound decides about the others."""
-    return nearest_rows(usable(vectors), usable(queries), k, max(rerank, 4 * k))
+    return nearest_rows(usable(vectors), usable(queries), k, max(rerank, 4 * k + 1))
