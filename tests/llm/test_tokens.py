@@ -161,6 +161,19 @@ def test_bpe_small_blocks(spark, docs, monkeypatch):
     assert {(r.doc_id, r.ids) for r in bpe.encode(small, RANKS).collect()} == a
 
 
+def test_bpe_many_blocks_a_partition(monkeypatch):
+    monkeypatch.setattr(bpe.TaskContext, "get", classmethod(lambda c: type("Task", (), {"partitionId": lambda self: 5_000_000})()))
+    numbers = [bpe.Block().number(i) for i in (0, 255, 256, 300, 900_000)]
+    assert sorted(set(numbers)) == numbers and numbers[-1] < 2**63
+
+
+def test_bpe_of_a_shuffled_table(spark, docs, sf):
+    from tracelake.llm.common import replayable, texts
+
+    scan = texts(spark.read.parquet(f"{sf}/documents.parquet")).where("doc_id > 3")
+    assert replayable(scan, "x") is scan and replayable(docs, "x") is not docs and replayable(scan.distinct(), "x") is not scan
+
+
 def test_empty_tables(spark, tmp_path):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert token_files.read_token_files(token_files.write_token_files(none, JSON)).count() == 0

@@ -7,9 +7,10 @@
    at most once a block, however often it occurs; a shuffled row carries a block's words of one bucket.
 3. Each block puts the ids back by position.
 
-A block is found again by its partition and place there, so docs must deal its rows alike each time it
-is read: a scan does. Bits of a checksum over its words are part of its number, so that a block that was
-dealt otherwise finds no ids and the job fails; it never guesses.
+A block is found again by its partition and place there, so the rows must be dealt alike both times they
+are read: a scan does, and what is more than a scan is written first. Bits of a checksum over its words are
+part of a block's number, so that a block that was dealt otherwise would find no ids and the job fail; it
+never guesses.
 
 Decoding looks every id up in the token-byte table, whose size is that of the vocabulary.
 
@@ -29,11 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import partitions, texts
+from tracelake.llm.common import partitions, replayable, texts
 from tracelake.llm.tokens import Places, slices, split_batch, spread
 
 BLOCK_BYTES, BLOCK_WORDS = 16 << 20, 1 << 20
-CRC_BITS, ORDINAL_BITS = 20, 8
+CRC_BITS, ORDINAL_BITS = 20, 20  # what is left names eight million partitions
 REMEMBERED = 200_000  # distinct words that a bucket's task holds at once
 OUT_BYTES = 4 << 20
 
@@ -72,7 +73,7 @@ class Block:
 
     def number(self, ordinal: int) -> int:
         if ordinal >> ORDINAL_BITS:
-            raise ValueError(f"a partition has over {1 << ORDINAL_BITS} blocks of {BLOCK_BYTES} bytes")
+            raise ValueError(f"a partition has over {1 << ORDINAL_BITS} blocks")  # of 16 MB: 16 TB
         crc = zlib.crc32("\0".join(self.words).encode()) & ((1 << CRC_BITS) - 1)
         return ((TaskContext.get().partitionId() << ORDINAL_BITS) + ordinal << CRC_BITS) + crc
 
@@ -201,7 +202,7 @@ def rebuilding(n_buckets: int):
 
 def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id, n_tokens, and ids as little-endian unsigned 32-bit integers."""
-    rows, n = texts(docs), partitions(docs.sparkSession)
+    rows, n = replayable(texts(docs), "bpe-texts"), partitions(docs.sparkSession)
     asked = rows.mapInArrow(asking(n), "bucket int, block long, lengths binary, words binary").repartition(n, "bucket").sortWithinPartitions("bucket")
     answers = asked.mapInArrow(answering(ranks_path), "block long, bucket int, lengths binary, ids binary")
     payload = rows.mapInArrow(positions(n), "block long, n_words long, doc_ids array<long>, counts array<int>, codes binary").withColumn("bucket", F.lit(-1))

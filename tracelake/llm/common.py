@@ -59,6 +59,14 @@ def drop_written(df: DataFrame) -> None:
     _delete(df.sparkSession, df.table_path)
 
 
+def replayable(df: DataFrame, label: str) -> DataFrame:
+    """df if it is a scan with projections and filters, which deals its rows alike each time it is read;
+    else a written copy, since a shuffle may bring rows in another order."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {line.lstrip(" :+-|").split(" ", 1)[0].split("[", 1)[0] for line in plan.strip().splitlines()}
+    return df if nodes <= {"Relation", "Project", "Filter"} else written(df, label)
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null: empty), and nothing else, so that other columns' names never clash."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
