@@ -144,7 +144,7 @@ def test_triples_cover():
     assert all(any(set(t) <= set(four) for t in triples) for four in combinations(range(8), 4))
 
 
-@pytest.mark.parametrize("chunk,short,many", [(8192, 32, 10**9), (60, 4, 10**9), (8192, 32, 0)])
+@pytest.mark.parametrize("chunk,short,many", [(8192, 32, 10**9), (60, 4, 10**9), (12, 4, 10**9), (8192, 32, 0)])
 def test_near_links(spark, monkeypatch, chunk, short, many):
     """A tight cluster makes long lists; small bounds make them be dealt out in chunk pairs."""
     monkeypatch.setattr(simhash, "CHUNK", chunk)

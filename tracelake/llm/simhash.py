@@ -34,7 +34,7 @@ from tracelake.llm.tokens import slices
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Of eight byte positions in groups of 3, 3 and 2: three of a group, or two of a group and one of the next.
 GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
-SHORT, CHUNK = 32, 8192
+SHORT, CHUNK, LARGE = 32, 8192, 500
 #: From here on 70 entries a fingerprint, in lists of 2^-32 of all, cost less than 20 in lists of 2^-24.
 MANY = 85_000_000
 
@@ -108,22 +108,22 @@ def _forest(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([fps[:0], *a]), np.concatenate([fps[:0], *b])
 
 
-def _linker(most: int):
-    """For rows sorted by list: the links of lists of at most CHUNK entries; longer lists' names and sizes."""
+def _linker(most: int, chunk: int, few: int):
+    """For rows sorted by list: the links of lists of at most `chunk` entries; longer lists' names and sizes."""
 
     def links(name: np.ndarray, fps: np.ndarray):
         starts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
         sizes = np.diff(np.concatenate([starts, [len(name)]]))
         a, b = [fps[:0]], [fps[:0]]
-        short = np.repeat(sizes <= SHORT, sizes)
-        for step in range(1, min(SHORT, int(sizes.max()))):
+        short = np.repeat(sizes <= few, sizes)
+        for step in range(1, min(few, int(sizes.max()))):
             at = np.flatnonzero((name[step:] == name[:-step]) & short[:-step])
             differs = fps[at] ^ fps[at + step]
             shared = (differs.view(np.uint8).reshape(-1, 8) == 0).sum(1)
             at = at[(shared >= 8 - most) & (np.bitwise_count(differs) <= most)]
             a.append(fps[at])
             b.append(fps[at + step])
-        for start, size in zip(starts[sizes > SHORT].tolist(), sizes[sizes > SHORT].tolist()):
+        for start, size in zip(starts[sizes > few].tolist(), sizes[sizes > few].tolist()):
             x, y = _forest(fps[start : start + size], most)
             a.append(x)
             b.append(y)
@@ -151,7 +151,7 @@ def _linker(most: int):
             last = int(np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))[-1])
             yield from emit(name[:last], fps[:last])
             name, fps = name[last:], fps[last:]
-            if len(name) > CHUNK:
+            if len(name) > chunk:
                 over, over_size, name, fps = int(name[0]), len(name), name[:0], fps[:0]
         if over is not None:
             yield batch_of(fps[:0], fps[:0], [over], [over_size])
@@ -161,7 +161,7 @@ def _linker(most: int):
         if not len(name):
             return
         names, sizes = np.unique(name, return_counts=True)
-        if (long := sizes > CHUNK).any():
+        if (long := sizes > chunk).any():
             yield batch_of(fps[:0], fps[:0], names[long], sizes[long])
             keep = ~np.isin(name, names[long])
             name, fps = name[keep], fps[keep]
@@ -181,22 +181,22 @@ def near_links(fps: DataFrame, most: int = 4) -> DataFrame:
     entries = fps.select("fp", F.explode(F.array(*lists)).alias("list"))
     schema = "a long, b long, long_list long, size long"
 
-    def linked(rows: DataFrame, *names: str) -> DataFrame:
-        return rows.repartition(partitions(spark), *names).sortWithinPartitions(*names, "fp")
+    def linked(rows: DataFrame) -> DataFrame:
+        return rows.repartition(partitions(spark), "list").sortWithinPartitions("list", "fp")
 
-    found = written(linked(entries, "list").mapInArrow(_linker(most), schema), "near")
-    links, long_lists = found.where("a is not null").select("a", "b"), found.where("long_list is not null").select(F.col("long_list").alias("list"), "size")
-    if long_lists.isEmpty():
-        return links
-    # Of a long list every pair of chunks meets in a list of its own; a chunk has about a third of CHUNK.
-    chunks = F.ceil(F.col("size") * 3 / CHUNK)
-    own = entries.join(broadcast_if_small(long_lists), "list").withColumn("n", chunks).withColumn("own", F.pmod(F.xxhash64("fp"), "n"))
-    pairs = own.select("fp", "list", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
-    pairs = pairs.select("fp", F.xxhash64("list", F.least("own", "other"), F.greatest("own", "other")).alias("list"))
-    more = written(linked(pairs, "list").mapInArrow(_linker(most), schema), "near")
-    if not more.where("long_list is not null").isEmpty():
-        raise RuntimeError("a chunk pair of a long list is still too long")
-    return links.union(more.select("a", "b"))
+    links, level = [], 0
+    while True:
+        found = written(linked(entries).mapInArrow(_linker(most, CHUNK, SHORT), schema), "near")
+        links.append(found.where("a is not null").select("a", "b"))
+        long_lists = found.where("long_list is not null").select(F.col("long_list").alias("list"), "size")
+        if long_lists.isEmpty():
+            return reduce(DataFrame.union, links)
+        # Of a long list every pair of chunks meets in a list of its own; a chunk has about a third of CHUNK.
+        # A pair that is too long all the same is dealt out again, by another hash.
+        chunks, level = F.ceil(F.col("size") * 3 / CHUNK), level + 1
+        own = entries.join(broadcast_if_small(long_lists), "list").withColumn("n", chunks).withColumn("own", F.pmod(F.xxhash64("fp", F.lit(level)), "n"))
+        pairs = own.select("fp", "list", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
+        entries = pairs.select("fp", F.xxhash64("list", F.least("own", "other"), F.greatest("own", "other")).alias("list"))
 
 
 def groups(docs: DataFrame, width: int = 4, most: int = 4) -> DataFrame:
@@ -206,9 +206,13 @@ def groups(docs: DataFrame, width: int = 4, most: int = 4) -> DataFrame:
     found = components(near_links(nodes.select("fp"), most))
     member = nodes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     member = written(member, "members")
-    least = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    # The ends of large components are few for their number of members, so their members need no shuffle.
+    least = written(member.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "components")
+    large, small = broadcast_if_small(least.where(F.col("n") > LARGE)), least.where(F.col("n") <= LARGE)
+    of_large = member.join(large, "root").select("fp", "component_id")
+    of_small = member.join(large, "root", "left_anti").join(small, "root").select("fp", "component_id")
+    labels = of_large.union(of_small)
     # A row a fingerprint; copies share one, so a hot fingerprint is one row here and AQE splits its documents.
-    labels = member.join(least, "root").select("fp", "component_id")
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
