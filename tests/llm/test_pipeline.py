@@ -23,7 +23,7 @@ def test_run(spark, sf):
     fps = {i: brute_fingerprint(t) for i, t in rows.items()}
     linked = [(a, b) for a, b in combinations(sorted(rows), 2) if (fps[a] ^ fps[b]).bit_count() <= 4]
     rows = {i: rows[i] for i, root in brute_components(sorted(rows), linked).items() if i == root}
-    made = pii.Pseudonyms(pii.DEFAULT_KEY)
+    made = pii.Pseudonyms(pii.session_key(spark))
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = {i: [*tokenizer.encode(pii.pseudonymised(t, made)[0], add_special_tokens=False).ids, 0] for i, t in rows.items()}
     got = {}
@@ -36,3 +36,26 @@ def test_stages_keep_the_columns(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns
+
+
+def test_odd_tables_end_to_end(spark, sf, tmp_path):
+    """Null ids, null and empty texts, repeated rows, columns with the stages' own names; an empty table."""
+    texts = ["Mail a.b@example.com or 10.1.2.3 about the long report of the year", None, "", "same words here for all", "same  words here for all", "x " * 5000]
+    rows = [(None if i == 3 else i, t, "en", i, f"k{i}", i) for i, t in enumerate(texts)] + [(5, texts[5], "en", 5, "k5", 5), (None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, h long, key string, kept_id long")
+    spark.read.parquet(f"{sf}/labels.parquet").where("quality = 0").write.parquet(f"{tmp_path}/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # Without positives in the fold nothing is rejected; one of each group of equal texts stays.
+    assert {r.doc_id for r in pieces} == {0, 1, 4, 5} and sum(r.length for r in pieces if r.doc_id == 1) == 1
+    docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_intermediates_are_deleted(spark, sf):
+    from tracelake.llm import common
+
+    begun = common.mark()
+    corpus_pipeline.run(spark, sf).count()
+    assert len(common._made) - begun == 2  # the last stage's input, and its first pass
+    common.clean(spark)

@@ -45,6 +45,20 @@ def clean(spark: SparkSession) -> None:
         _delete(spark, _made.pop())
 
 
+def mark() -> int:
+    """For release(): what is made from here on."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Delete the intermediates made since a mark, but for the table of written() `keep`. What was computed
+    from them must be written by now."""
+    gone = [path for path in _made[since:] if path != keep.table_path]
+    _made[since:] = [keep.table_path]
+    for path in gone:
+        _delete(spark, path)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder. Later reads cost a scan, not df's plan, and outlive executors."""
     path = new_path(df.sparkSession, label)

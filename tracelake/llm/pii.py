@@ -1,12 +1,21 @@
 """Personal data: validated values give way to keyed pseudonyms of the same format.
 
 Kinds: e-mail addresses, phone numbers, payment cards (Luhn), IBANs (mod 97), social security numbers
-(valid ranges), IPv4 addresses, calendar dates. A value that fails its validation stays as it is.
+(valid ranges), IPv4 addresses, calendar dates (in figures, or with the month's English name). A value that
+fails its validation stays as it is.
 
 A value is a number below the count of all values of its format; a Feistel network keyed for the kind
-permutes these numbers (steps outside the range are walked on), and check digits are computed anew. So
-a pseudonym is valid in its format, equal values get equal pseudonyms in all documents, and who holds
-the key can undo it.
+permutes these numbers (steps outside the range are walked on), and check digits are computed anew. Where
+a format has few values the permutation is one cycle, so that no value stays. A pseudonym is valid in its
+format, equal values get equal pseudonyms in all documents, and who holds the key can undo it.
+
+Of e-mail addresses the local part and the domain without its last label change, each for itself, so that
+equal domains stay linked. Dates change within those whose day and month have the same numbers of digits
+and are read alike (1-9, 10-12, over 12), so every layout is undone exactly and a date is the same day in
+all layouts.
+
+The key is a setting of the session (KEY_SETTING); where it is unset, each application draws its own, and
+its pseudonyms can't be undone or linked to those of another.
 
 Null text stays null, empty text empty; rows that repeat change alike; other columns stay as they are.
 """
@@ -16,19 +25,28 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import secrets as stdlib_secrets
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm.tokens import slices
 
 ROUNDS = 10
-DEFAULT_KEY = "tracelake"
+FEW = 1 << 16  # formats of fewer values are permuted in one cycle
+REMEMBERED = 100_000  # pseudonyms, and permutations, that a task keeps
+KEY_SETTING = "spark.tracelake.pii.secret"
+_own_keys: dict[str, str] = {}
+
+
+def session_key(spark: SparkSession) -> str:
+    """The session's key, else one drawn for this application."""
+    return spark.conf.get(KEY_SETTING, None) or _own_keys.setdefault(spark.sparkContext.applicationId, stdlib_secrets.token_hex(32))
 
 
 class Permutation:
@@ -85,12 +103,27 @@ class Pseudonyms:
     """Pseudonyms under one key."""
 
     def __init__(self, key: str, undo: bool = False):
-        self.key, self.undo, self.made = key, undo, {}
+        if not key:
+            raise ValueError("pseudonyms need a key")
+        self.key, self.undo, self.made, self.known = key, undo, {}, {}
+
+    def of(self, kind: str, value: str) -> str:
+        """The pseudonym of a value of this kind."""
+        if (kind, value) not in self.known:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[kind, value] = getattr(self, kind)(value)
+        return self.known[kind, value]
 
     def number(self, kind: str, size: int, x: int) -> int:
         if (kind, size) not in self.made:
+            if len(self.made) >= REMEMBERED:
+                self.made.clear()
             self.made[kind, size] = Permutation(self.key, kind, size)
-        return self.made[kind, size].apply(x, self.undo)
+        if size >= FEW:
+            return self.made[kind, size].apply(x, self.undo)
+        cycle = self.made[kind, size]
+        return cycle.apply((cycle.apply(x) + (-1 if self.undo else 1)) % size, undo=True)
 
     def characters(self, kind: str, value: str) -> str:
         """Each digit and letter becomes one of its alphabet; all of them are permuted as one number."""
@@ -106,7 +139,8 @@ class Pseudonyms:
 
     def email(self, value: str) -> str:
         local, _, domain = value.partition("@")
-        return f"{self.characters('email', local)}@{domain}"
+        names, dot, last = domain.rpartition(".")
+        return f"{self.characters('email', local)}@{self.characters('domain', names)}{dot}{last}"
 
     def phone(self, value: str) -> str:
         """The digits behind a country code change; without a known one, the last ten."""
@@ -138,16 +172,38 @@ class Pseudonyms:
         return put(value, at, plain[:2] + f"{98 - mod97(body + plain[:2] + '00'):02d}" + body)
 
     def date(self, value: str) -> str:
-        order, at = date_order(value)
-        day = datetime.date(*(int(value[slice(*at[order.index(k)])]) for k in "ymd"))
-        new = FIRST_DAY + datetime.timedelta(self.number("date", DAYS, (day - FIRST_DAY).days))
+        order, at, day = date_parts(value)
+        days = days_like(day)
+        new = datetime.date.fromordinal(days[self.number(f"date{digits_like(day)}", len(days), bisect_left(days, day.toordinal()))])
         out = value
         for k, (a, b) in sorted(zip(order, at), key=lambda x: -x[1][0]):
-            out = out[:a] + str({"y": new.year, "m": new.month, "d": new.day}[k]).zfill(b - a) + out[b:]
+            if k == "m" and value[a].isalpha():
+                name = MONTHS[new.month - 1]
+                part = name.upper() if value[a:b].isupper() else name.lower() if value[a:b].islower() else name
+            else:
+                part = str({"y": new.year, "m": new.month, "d": new.day}[k]).zfill(b - a)
+            out = out[:a] + part + out[b:]
         return out
 
 
-FIRST_DAY, DAYS = datetime.date(1900, 1, 1), 73049  # to 2099-12-31
+FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
+# The months' names.
+MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+
+
+def digits_like(day: datetime.date) -> tuple[int, int]:
+    """What must stay for every layout to be read alike: 0 for 1-9, 1 for 10-12, 2 for over 12."""
+    return (day.day > 9) + (day.day > 12), int(day.month > 9)
+
+
+@lru_cache(8)
+def _days(like: tuple[int, int]) -> list[int]:
+    every = map(datetime.date.fromordinal, range(FIRST_DAY.toordinal(), LAST_DAY.toordinal() + 1))
+    return [d.toordinal() for d in every if digits_like(d) == like]
+
+
+def days_like(day: datetime.date) -> list[int]:
+    return _days(digits_like(day))
 
 
 def put(value: str, places: list[int], new: str) -> str:
@@ -169,17 +225,19 @@ def mod97(x: str) -> int:
     return int("".join(str(int(c, 36)) for c in x)) % 97
 
 
-def date_order(value: str) -> tuple[str, list[tuple[int, int]]] | None:
-    """Which part is year, month and day: y-m-d, else d m y if that is a date, else m d y."""
-    at = [m.span() for m in re.finditer(r"\d+", value)]
-    for order in ("ymd",) if at[0][1] == 4 else ("dmy", "mdy"):
-        parts = {k: int(value[a:b]) for k, (a, b) in zip(order, at)}
+def date_parts(value: str) -> tuple[str, list[tuple[int, int]], datetime.date] | None:
+    """Which part is year, month and day, where they are, and the date: y-m-d; d month y or month d y where
+    a month is named; else d m y if that is a date, else m d y."""
+    at = [m.span() for m in re.finditer(r"\d+|[^\W\d]+", value)]
+    name = next((i for i, (a, _) in enumerate(at) if value[a].isalpha()), None)
+    for order in ("ymd",) if at[0][1] == 4 else ("dmy", "mdy") if name is None else ("mdy" if name == 0 else "dmy",):
+        parts = {k: MONTHS.index(value[a:b].title()) + 1 if value[a].isalpha() else int(value[a:b]) for k, (a, b) in zip(order, at)}
         try:
             day = datetime.date(parts["y"], parts["m"], parts["d"])
         except ValueError:
             continue
-        if 0 <= (day - FIRST_DAY).days < DAYS:
-            return order, at
+        if FIRST_DAY <= day <= LAST_DAY:
+            return order, at, day
     return None
 
 
@@ -213,7 +271,7 @@ def country_code(digits: str) -> str:
 
 
 def _phone_fit(value: str) -> int:
-    if NATIONAL.fullmatch(value):
+    if NATIONAL.fullmatch(value) or value.isdigit():
         return len(value)
     for end in group_ends(value):
         digits = re.sub(r"[^0-9]", "", value[:end])
@@ -228,6 +286,8 @@ IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 B
 #: Assigned country codes of telephone numbers.
 COUNTRY_CODES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
 COUNTRY_CODES |= {str(n) for a, b in ((211, 213), (216, 216), (218, 218), (220, 258), (260, 269), (290, 291), (297, 299), (350, 359), (370, 378), (380, 383), (385, 387), (389, 389), (420, 421), (423, 423), (500, 509), (590, 599), (670, 670), (672, 683), (685, 692), (800, 800), (808, 808), (850, 850), (852, 853), (855, 856), (870, 870), (878, 878), (880, 883), (886, 886), (888, 888), (960, 968), (970, 977), (979, 979), (992, 996), (998, 998)) for n in range(a, b + 1)}
+#: Ten digits in a row are a telephone number only behind a word that says so.
+LABELLED = re.compile("(?:" + "|".join(f"(?<=(?i:{w}){gap})" for w in ("tel", "phone", "mobile", "cell", "fax", "call") for gap in (" ", ": ", ":", r"\. ")) + r")[2-9][0-9]{2}[2-9][0-9]{6}(?!\w)")
 NATIONAL = re.compile(r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}[ .-]?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}")
 
 
@@ -236,10 +296,10 @@ NATIONAL = re.compile(r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[
 SHAPES = {
     "email": (re.compile(r"(?<!\w)\w[\w.%+-]{0,63}@(?:[^\W_](?:[^\W_]|-){0,62}\.){1,8}[^\W\d_]{2,63}(?![\w@])"), len),
     "iban": (re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)"), _iban_fit),
-    "date": (re.compile(r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?:(?=[Tt][0-9]{2}(?::?[0-9]{2}|(?!\w)))|(?![\w/-]|\.[0-9]))"), whole(lambda v: date_order(v) is not None)),
+    "date": (re.compile(r"(?<![\w./-])(?:" + rf"(?i:{'|'.join(MONTHS)}) [0-9]{{1,2}},? [0-9]{{4}}|[0-9]{{1,2}} (?i:{'|'.join(MONTHS)}),? [0-9]{{4}}|" + r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?:(?=[Tt][0-9]{2}(?::?[0-9]{2}|(?!\w)))|(?![\w/-]|\.[0-9]))"), whole(lambda v: date_parts(v) is not None)),
     "ip": (re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\w|\.[0-9])"), len),
     "ssn": (re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"), whole(_ssn_ok)),
-    "phone": (re.compile(rf"(?<![\w+])(?:{NATIONAL.pattern})(?!\w|-[0-9])|(?<![\w+])\+[1-9](?:[ .()/-]{{0,2}}[0-9]){{6,14}}(?!\w|-[0-9])"), _phone_fit),
+    "phone": (re.compile(rf"(?<![\w+])(?:{NATIONAL.pattern})(?!\w|-[0-9])|{LABELLED.pattern}|(?<![\w+])\+[1-9](?:[ .()/-]{{0,2}}[0-9]){{6,14}}(?!\w|-[0-9])"), _phone_fit),
     "card": (re.compile(r"(?<!\w)(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?!\w)"), whole(lambda v: luhn(re.sub(r"[ -]", "", v)))),
 }
 DIGIT = re.compile(r"[0-9]")
@@ -271,12 +331,12 @@ def pseudonymised(text: str, made: Pseudonyms) -> tuple[str, list[tuple[int, int
         return text, found
     parts, last = [], 0
     for a, b, kind in found:
-        parts += [text[last:a], getattr(made, kind)(text[a:b])]
+        parts += [text[last:a], made.of(kind, text[a:b])]
         last = b
     return "".join(parts) + text[last:], found
 
 
-def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs with pseudonyms in text; the schema and all other columns stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +348,7 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def report(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def report(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text with pseudonyms, n_values, and spans (kind:start:end of the values in the original
     text, in code points, comma-joined). Null text gives null text and no spans."""
 

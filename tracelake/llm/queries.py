@@ -62,7 +62,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(read_table(spark, sf_dir, "documents"))
+    return pii.report(read_table(spark, sf_dir, "documents"), pii.session_key(spark))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
