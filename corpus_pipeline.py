@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelake.llm import exact_dedup, packing, pii, quality, simhash
-from tracelake.llm.common import read_table, tokenizer_path, written
+from tracelake.llm.common import mark, read_table, release, tokenizer_path, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data give way to pseudonyms; every document stays."""
-    return pii.pseudonymise(docs)
+    return pii.pseudonymise(docs, pii.session_key(spark))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over documents; each but the last is written and read again. A stage's intermediates, and
+    what the stage before it wrote, are deleted once it is written."""
+    docs, begun = read_table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark, begun, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
