@@ -5,13 +5,13 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from tracelake.errors import EngineError
-from tracelake.functions.identity import event_id
+from tracelake.functions.identity import event_id, framed
+from tracelake.sources.stored import stored
 
 # Fixed value: bytes of a fingerprinted chunk.
 CHUNK = 64 << 10
@@ -46,8 +46,8 @@ def unknown(events: DataFrame, known: DataFrame) -> DataFrame:
 def numbered(records: DataFrame, order: list[str], base: int) -> DataFrame:
     """records with seq, contiguous from base in the given order (which must tell all rows apart), without
     one task seeing all rows: rows are dealt by range, counted a partition, and each partition starts after
-    those before it. The dealing is kept, since counts and rows must see the same bounds."""
-    dealt = records.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    those before it. The dealing is stored, since counts and rows must see the same bounds."""
+    dealt = stored(records.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     dealt = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     counts = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -67,3 +67,50 @@ def gone(checkpoints: DataFrame, inventory: DataFrame, now_ms: int, grace_ms: in
     missing = checkpoints.join(inventory.select("path"), "path", "left_anti")
     since = F.coalesce("missing_since", F.lit(now_ms))
     return missing.withColumn("missing_since", since).withColumn("retract", F.lit(now_ms) - since >= grace_ms)
+
+
+def composite(artifacts: DataFrame, unit: str = "unit") -> DataFrame:
+    """One fingerprint for a source of several files, or of compressed ones: SHA-256 over the files' paths
+    and digests in order of path, each after its length. Such a source has no prefix to append to."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("path", "digest"))), lambda a: F.concat_ws(":", F.length(a["path"]).cast("string"), a["path"], F.length(a["digest"]).cast("string"), a["digest"]))
+    grouped = artifacts.groupBy(unit).agg(F.count("*").alias("artifacts"), F.sum("length").alias("length"), parts.alias("_parts"))
+    return grouped.withColumn("fingerprint", framed(F.array_join("_parts", ""))).drop("_parts")
+
+
+def reconcile(checkpoints: DataFrame, inventory: DataFrame, composite_source: Column | None = None) -> DataFrame:
+    """What to read of each source, by path: change (new, unchanged, append, replace), generation, from_offset.
+
+    checkpoints: provider, path, generation, length, chunks, missing_since. inventory: provider, path, length,
+    chunks, tail (the digest, in the new file, of the bytes of the old file's last unfinished chunk).
+    An append keeps its generation and reads on from the old length; what is replaced, and what was
+    missing and is back, starts a generation anew. Composite sources never append."""
+    old = checkpoints.select("provider", "path", F.col("generation").alias("_generation"), F.col("length").alias("_length"), F.col("chunks").alias("_chunks"), F.col("missing_since").alias("_since"))
+    met = inventory.join(old, ["provider", "path"], "left")
+    kind = change(F.col("_length"), F.col("_chunks"), F.col("length"), F.col("chunks"), F.col("tail"))
+    if composite_source is not None:
+        kind = F.when((kind == "append") & composite_source, "replace").otherwise(kind)
+    kind = F.when(F.col("_since").isNotNull(), "replace").otherwise(kind)
+    rows = met.withColumn("change", kind)
+    fresh = F.coalesce(F.col("_generation"), F.lit(-1)) + F.when(F.col("change").isin("new", "replace"), 1).otherwise(0)
+    start = F.when(F.col("change") == "append", F.col("_length")).otherwise(F.lit(0))
+    return rows.select("provider", "path", "change", fresh.cast("long").alias("generation"), start.cast("long").alias("from_offset"), "length", "chunks")
+
+
+def controls(plan: DataFrame, retracted: DataFrame) -> DataFrame:
+    """The control records of a reconcile, which precede its events: supersede for the generation before a
+    replaced one, retract for sources that are gone for good (provider, path, generation)."""
+    replaced = plan.where((F.col("change") == "replace") & (F.col("generation") > 0)).select("provider", "path", (F.col("generation") - 1).alias("generation"), F.lit("supersede").alias("action"))
+    return replaced.unionByName(retracted.select("provider", "path", "generation", F.lit("retract").alias("action")))
+
+
+def hot_sources(inventory: DataFrame, most: int = 64) -> DataFrame:
+    """The sources a tick looks at: the most recently modified, ties by path."""
+    return inventory.orderBy(F.desc("modified"), "path").limit(most)
+
+
+def state(events: DataFrame, checkpoints: DataFrame, control_records: DataFrame) -> dict[str, DataFrame]:
+    """What a restart rebuilds from the log: known event ids, the latest checkpoint a source, and the
+    generations that controls hide."""
+    latest = checkpoints.groupBy("provider", "path").agg(F.max_by(F.struct(*checkpoints.columns), "seq").alias("_r")).select("_r.*")
+    hidden = control_records.groupBy("provider", "path", "generation").agg(F.max("seq").alias("hidden_below"))
+    return {"known": events.select("event_id").distinct(), "checkpoints": latest, "hidden": hidden}

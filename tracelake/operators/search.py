@@ -72,10 +72,40 @@ def top_per_group(df: DataFrame, group: str, order: list[Column], k: int = 3, na
 def chunks(df: DataFrame, text: str, size: int = 768, overlap: int = 96) -> DataFrame:
     """A row a window of `size` words that overlaps the last by `overlap`: chunk_no, start, n_words, chunk.
     A text of no word has no chunk; a chunk never crosses its row."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    step = size - overlap
-    with_words = df.withColumn("_words", words).where(F.size("_words") > 0)
-    last = F.greatest(F.ceil((F.size("_words") - overlap) / step).cast("int") - 1, F.lit(0))
-    each = with_words.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), last)))
-    part = F.slice("_words", F.col("chunk_no") * step + 1, F.lit(size))
-    return each.withColumn("start", F.col("chunk_no") * step).withColumn("n_words", F.size(part)).withColumn("chunk", F.concat_ws(" ", part)).drop("_words")
+    words, step = F.filter(F.split(text, r"\s+"), lambda w: w != ""), size - overlap
+    last = F.greatest(F.ceil((F.size(words) - overlap) / step).cast("int") - 1, F.lit(0))
+
+    def window(i: Column) -> Column:  # the words are cut before rows are made, so no row carries them all
+        part = F.slice(words, i * step + 1, F.lit(size))
+        return F.struct(i.alias("chunk_no"), (i * step).alias("start"), F.size(part).alias("n_words"), F.concat_ws(" ", part).alias("chunk"))
+
+    windows = F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(0), last), window))
+    return df.withColumn("_w", F.explode(windows)).select(*df.columns, "_w.*")
+
+
+def turn_texts(messages: DataFrame, session: str, turn: str, order: list[str], text: str) -> DataFrame:
+    """The unit that chunks are cut from: all messages of a session's turn, in order, a line each. byte_start
+    and byte_end: where the turn lies in the session's text, in UTF-8 bytes, half open."""
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.coalesce(text, F.lit("")).alias("_text")))), lambda m: m["_text"]), "\n")
+    turns = messages.groupBy(session, turn).agg(whole.alias("text"))
+    before = Window.partitionBy(session).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.octet_length("text") + 1).over(before), F.lit(0))
+    return turns.withColumn("byte_start", start.cast("long")).withColumn("byte_end", F.col("byte_start") + F.octet_length("text"))
+
+
+def search(df: DataFrame, text: str, query: str, identity: str, limit: int = 100) -> DataFrame:
+    """The convenience search: literal, any case, the first `limit` rows by identity, each of score 1; an
+    empty query finds nothing."""
+    found = df.where(F.coalesce(F.lower(F.col(text)).contains(query.lower()), F.lit(False)) & F.lit(bool(query)))
+    return found.orderBy(identity).limit(limit).withColumn("score", F.lit(1.0))
+
+
+def recency_boosted(hits: DataFrame, score: str, ts_ms: str, now_ms: int, half_life_ms: int) -> DataFrame:
+    """hits with their score (higher is better) halved for each half-life of age; a hit from the future has age 0."""
+    age = F.greatest(F.lit(now_ms) - F.col(ts_ms), F.lit(0)).cast("double")
+    return hits.withColumn(score, F.col(score) * F.pow(F.lit(0.5), age / F.lit(float(half_life_ms))))
+
+
+def session_scores(hits: DataFrame, session: str, score: str) -> DataFrame:
+    """A session's score is its best hit's."""
+    return hits.groupBy(session).agg(F.max(score).alias("session_score"), F.count("*").alias("hits"))

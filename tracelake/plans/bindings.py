@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions.predicates import epoch_ms
+from tracelake.plans.fixed import PROVIDERS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,10 +44,10 @@ def vec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rev(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as revisions of entities of a source generation."""
     e = ev(spark, sf_dir)
-    return e.select("seq", "session", "ts_ms", "value", F.concat(F.lit("p"), F.col("session") % 5).alias("provider"), F.col("session").alias("source_path"), (F.col("seq") % 3).alias("generation"), F.col("event_type").alias("identity"), "event_type")
+    return e.select("seq", "session", "ts_ms", "value", F.element_at(F.array(*map(F.lit, PROVIDERS)), (F.col("session") % 5 + 1).cast("int")).alias("provider"), F.col("session").alias("source_path"), (F.col("seq") % 3).alias("generation"), F.col("event_type").alias("identity"), "event_type")
 
 
-REV = "rev AS (SELECT seq, session, ts_ms, value, 'p' || (session % 5) AS provider, session AS source_path, seq % 3 AS generation, event_type AS identity, event_type FROM ev)"
+REV = f"rev AS (SELECT seq, session, ts_ms, value, ({list(PROVIDERS)})[session % 5 + 1] AS provider, session AS source_path, seq % 3 AS generation, event_type AS identity, event_type FROM ev)"
 
 
 def edge(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -336,7 +336,7 @@ def agg_all(spark, sf):
 
 @query("SELECT event_type, count(DISTINCT session) AS sessions, count(DISTINCT k) AS ks FROM ev GROUP BY event_type", T.EV)
 def agg_distinct(spark, sf):
-    return T.ev(spark, sf).groupBy("event_type").agg(F.count_distinct("session").alias("sessions"), F.count_distinct("k").alias("ks"))
+    return aggregates.distincts(T.ev(spark, sf), ["event_type"], sessions="session", ks="k")
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, quantile_disc(value, 0.95) AS p95_rank FROM ev GROUP BY event_type", T.EV)
@@ -386,13 +386,14 @@ def visibility_controls(spark, sf):
     return views.visible(r, controls, views.SOURCE).select("seq", *views.SOURCE, "visible")
 
 
-SESSIONS = f", a AS (SELECT *, visible AND seq = max(seq) OVER (PARTITION BY provider, source_path, generation, identity) AS active FROM ({VISIBLE})), s AS (SELECT session, arg_min(ts_ms, seq) AS first_seen_ms, max(ts_ms) AS last_updated_ms, arg_max(CASE WHEN event_type = 'error' THEN 'e' || seq END, seq) FILTER (event_type = 'error') AS title, count(*) FILTER (active) AS event_count, bool_or(active) AS active FROM a GROUP BY session)"
+SESSIONS = f", a AS (SELECT *, visible AND seq = max(seq) OVER (PARTITION BY provider, source_path, generation, identity) AS active FROM ({VISIBLE})), s AS (SELECT session, arg_min(provider, seq) AS provider, 'n' || session AS native_session_id, arg_max('proj' || (seq % 3), seq) FILTER (event_type = 'click') AS project, arg_min(ts_ms, seq) AS first_seen_ms, max(ts_ms) AS last_updated_ms, arg_max(CASE WHEN event_type = 'error' THEN 'e' || seq END, seq) FILTER (event_type = 'error') AS title, count(*) FILTER (active) AS event_count, bool_or(active) AS active FROM a GROUP BY session)"
 
 
 def _sessions(spark, sf) -> DataFrame:
     r = T.rev(spark, sf)
     shown = views.visible(views.superseded(r, _KEYS), r.where("event_type = 'signup'").select("seq", *views.SOURCE), views.SOURCE)
-    titled = shown.withColumn("title", F.when(F.col("event_type") == "error", F.concat(F.lit("e"), "seq")))
+    titled = shown.withColumn("title", F.when(F.col("event_type") == "error", F.concat(F.lit("e"), "seq"))).withColumn("native_session_id", F.concat(F.lit("n"), "session"))
+    titled = titled.withColumn("project", F.when(F.col("event_type") == "click", F.concat(F.lit("proj"), F.col("seq") % 3)))
     return views.sessions(titled, F.col("current") & F.col("visible"))
 
 
@@ -513,7 +514,7 @@ def cumulative_merge(spark, sf):
 @query("SELECT coalesce(nullif(event_type, 'view'), 'Unassigned') AS project, count(DISTINCT session) AS sessions, count(*) AS events, CAST(sum(k) AS BIGINT) AS tokens, count(*) FILTER (event_type = 'error') AS errors, round(CASE WHEN sum(value) = 0 THEN 0 ELSE sum(k) / sum(value) END, 6) AS rate FROM ev GROUP BY 1", T.EV)
 def dash_group(spark, sf):
     project = F.coalesce(F.nullif("event_type", F.lit("view")), F.lit("Unassigned"))
-    rate = F.when(F.sum("value") == 0, 0.0).otherwise(F.sum("k") / F.sum("value"))
+    rate = aggregates.ratio(F.sum("k"), F.sum("value"))
     return aggregates.by_bucket(T.ev(spark, sf), project, "project", sessions=F.count_distinct("session"), events=F.count("*"), tokens=F.sum("k"), errors=F.count_if(F.col("event_type") == "error"), rate=_r(rate))
 
 
@@ -531,7 +532,7 @@ def dash_throughput_hour(spark, sf):
 
 @query("SELECT session, CAST(sum(k) AS BIGINT) AS tokens, count(*) AS events FROM ev GROUP BY session ORDER BY tokens DESC, session LIMIT 20", T.EV)
 def dash_top_sessions(spark, sf):
-    return T.ev(spark, sf).groupBy("session").agg(F.sum("k").alias("tokens"), F.count("*").alias("events")).orderBy(F.desc("tokens"), "session").limit(20)
+    return aggregates.top(T.ev(spark, sf), "session", "tokens", 20, tokens=F.sum("k"), events=F.count("*"))
 
 
 @query("SELECT event_type AS tool, count(*) AS calls, count(*) FILTER (k >= 90) AS errors FROM ev GROUP BY 1 ORDER BY calls DESC, tool", T.EV)
@@ -541,16 +542,15 @@ def tool_ranking(spark, sf):
 
 @query("SELECT session, count(*) FILTER (event_type = 'error') AS error, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'purchase') AS purchase FROM ev GROUP BY session", T.EV)
 def timeline_categories(spark, sf):
-    wide = T.ev(spark, sf).groupBy("session").pivot("event_type", ["error", "click", "purchase"]).agg(F.count(F.lit(1)))
-    return wide.select("session", *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in ("error", "click", "purchase")])
+    return aggregates.category_counts(T.ev(spark, sf), "session", F.col("event_type"), ["error", "click", "purchase"])
 
 
 # Hashes, streaming's batch equal
 
 
-@query("SELECT event_id, sha256(props) AS digest, lower(hex(event_type)) AS kind_hex, base64(encode(event_type)) AS kind_b64 FROM events")
-def crc_hash_columns(spark, sf):
-    return T.table(spark, sf, "events").select("event_id", F.sha2("props", 256).alias("digest"), F.lower(F.hex("event_type")).alias("kind_hex"), F.base64(F.col("event_type").cast("binary")).alias("kind_b64"))
+@query("SELECT event_id, sha256(props) AS digest, md5(event_type) AS type_md5, lower(hex(event_type)) AS kind_hex, base64(encode(event_type)) AS kind_b64 FROM events")
+def hash_columns(spark, sf):
+    return T.table(spark, sf, "events").select("event_id", F.sha2("props", 256).alias("digest"), F.md5(F.col("event_type").cast("binary")).alias("type_md5"), F.lower(F.hex("event_type")).alias("kind_hex"), F.base64(F.col("event_type").cast("binary")).alias("kind_b64"))
 
 
 @query("SELECT seq, session, event_type FROM ev", T.EV)
@@ -601,7 +601,7 @@ def evidence_semijoin(spark, sf):
 
 @query("SELECT session AS path, CAST(max(ts_ms) AS BIGINT) AS modified FROM ev GROUP BY session ORDER BY modified DESC, path LIMIT 64", T.EV)
 def hot_sources_topk(spark, sf):
-    return T.ev(spark, sf).groupBy(F.col("session").alias("path")).agg(F.max("ts_ms").alias("modified")).orderBy(F.desc("modified"), "path").limit(64)
+    return ingest.hot_sources(T.ev(spark, sf).groupBy(F.col("session").alias("path")).agg(F.max("ts_ms").alias("modified")))
 
 
 @query(", gone AS (SELECT DISTINCT session FROM ev WHERE event_type = 'error' EXCEPT SELECT session FROM ev WHERE event_type = 'signup' AND k > 60) SELECT session AS path, 1000 AS missing_since, true AS retract FROM gone", T.EV)
@@ -651,7 +651,7 @@ def dash_filters(spark, sf):
 @query("SELECT CAST(sum(k) AS BIGINT) AS tokens, CAST(sum(k) FILTER (event_type = 'view') AS BIGINT) AS cached, round(CASE WHEN sum(k) = 0 THEN 0 ELSE sum(k) FILTER (event_type = 'view') / sum(k) END, 6) AS hit_rate FROM ev", T.EV)
 def dash_totals(spark, sf):
     cached = F.sum(F.when(F.col("event_type") == "view", F.col("k")))
-    return T.ev(spark, sf).agg(F.sum("k").alias("tokens"), cached.alias("cached"), _r(F.when(F.sum("k") == 0, 0.0).otherwise(cached / F.sum("k"))).alias("hit_rate"))
+    return T.ev(spark, sf).agg(F.sum("k").alias("tokens"), cached.alias("cached"), _r(aggregates.ratio(cached, F.sum("k"))).alias("hit_rate"))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -23,11 +23,12 @@ def checked(provider: str | None = None, session: str | None = None, start: int
         raise EngineError("resource_limit", f"limit is at most {most}")
 
 
-def session_list(sessions: DataFrame, start: int | None = None, end: int | None = None, limit: int = MOST, offset: int = 0, **equal) -> DataFrame:
-    """Active sessions that overlap [start, end], the last updated first."""
-    checked(start=start, end=end, limit=limit)
+def session_list(sessions: DataFrame, start: int | None = None, end: int | None = None, limit: int = MOST, offset: int = 0, provider: str | None = None, project: str | None = None, session=None) -> DataFrame:
+    """Active sessions that overlap [start, end], the last updated first. Session ids that are text must
+    be 64 hex digits."""
+    checked(provider, session if isinstance(session, str) else None, start, end, limit)
     rows = sessions.where("active")
-    for name, value in equal.items():
+    for name, value in (("provider", provider), ("project", project), ("session", session)):
         rows = rows if value is None else rows.where(F.col(name) == value)
     rows = rows if start is None else rows.where(F.col("last_updated_ms") >= start)
     rows = rows if end is None else rows.where(F.col("first_seen_ms") <= end)
@@ -53,3 +54,46 @@ def evidence(rows: DataFrame, seq: int) -> DataFrame:
 def memory_list(memories: DataFrame, status: str, limit: int = MOST) -> DataFrame:
     checked(limit=limit)
     return memories.where(F.col("status") == status).orderBy(F.desc("updatedAtMs"), "memoryId").limit(limit)
+
+
+def session_detail(sessions: DataFrame, session) -> DataFrame:
+    """One active session; any other is not found."""
+    row = sessions.where("active").where(F.col("session") == session)
+    if row.isEmpty():
+        raise EngineError("not_found", f"session {session}")
+    return row
+
+
+def memory_get(memories: DataFrame, memory_id) -> DataFrame:
+    row = memories.where(F.col("memoryId") == memory_id)
+    if row.isEmpty():
+        raise EngineError("not_found", f"memory {memory_id}")
+    return row
+
+
+def source(checkpoints: DataFrame, provider: str, path) -> DataFrame:
+    """The checkpoint of one source, or no row."""
+    return checkpoints.where((F.col("provider") == provider) & (F.col("source_path") == path))
+
+
+def source_exists(checkpoints: DataFrame, provider: str, path) -> bool:
+    return not source(checkpoints, provider, path).isEmpty()
+
+
+def source_paths(checkpoints: DataFrame, provider: str) -> DataFrame:
+    return checkpoints.where(F.col("provider") == provider).select("source_path").distinct().orderBy("source_path")
+
+
+def hits_with_context(hits: DataFrame, events: DataFrame, sessions: DataFrame, project: str | None = None, limit: int = MOST) -> DataFrame:
+    """Search hits (seq, score) with their active event and, where there is one, its session; best score
+    first, then seq. project: only hits of sessions of that project."""
+    checked(limit=limit)
+    named = sessions.select("session", *[F.col(c).alias(f"session_{c}") for c in ("title", "project", "provider") if c in sessions.columns])
+    met = hits.select("seq", "score").join(events.where("active"), "seq").join(named, "session", "left")
+    met = met if project is None else met.where(F.col("session_project") == project)
+    return met.orderBy("score", "seq").limit(limit)
+
+
+def diagnostics(filters: dict, as_of: int, limit: int, active_only: bool = True) -> dict:
+    """What a list answer says about itself."""
+    return {"bounded": True, "activeOnly": active_only, "limit": limit, "filters": {k: v for k, v in filters.items() if v is not None}, "asOfSeq": as_of}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.errors import EngineError
+
 # The kinds of a log record's body.
 EVIDENCE, EVENT, CHECKPOINT, VISIBILITY, MEMORY = 240, 241, 242, 243, 244
 
@@ -51,8 +53,13 @@ def visible(events: DataFrame, controls: DataFrame, keys: list[str], seq: str =
 
 def sessions(events: DataFrame, active: Column) -> DataFrame:
     """The session fold: first_seen is the time of the first record, not the least time; titles and
-    projects are the last that are not null; a session is active if one of its events is."""
+    projects are the last that are not null; provider and native id are the first record's; a session is
+    active if one of its events is. provider, native_session_id, project: where events have them."""
+    first = [F.min_by(c, "seq").alias(c) for c in ("provider", "native_session_id") if c in events.columns]
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in ("project",) if c in events.columns]
     return events.groupBy("session").agg(
+        *first,
+        *last,
         F.min_by("ts_ms", "seq").alias("first_seen_ms"),
         F.max("ts_ms").alias("last_updated_ms"),
         F.max_by("title", F.when(F.col("title").isNotNull(), F.col("seq"))).alias("title"),
@@ -81,5 +88,52 @@ def projection(log: DataFrame) -> dict[str, DataFrame]:
     controls = bodies(log, VISIBILITY).select("seq", "provider", *keys)
     named = superseded(events, [*SOURCE, "nativeIdentity"])
     shown = visible(named, controls, SOURCE).withColumn("active", F.col("current") & F.col("visible"))
-    folded = shown.withColumn("session", F.col("session_id")).withColumn("title", F.get_json_object("event", "$.title"))
-    return {"evidence": bodies(log, EVIDENCE), "events": shown, "sessions": sessions(folded, F.col("active")), "links": links(events), "checkpoints": latest_by(bodies(log, CHECKPOINT), ["provider", "sourcePath"], "seq"), "memories": memories(log)}
+    folded = shown.withColumn("session", F.col("session_id")).withColumn("native_session_id", F.col("nativeSessionId"))
+    folded = folded.withColumn("title", F.get_json_object("event", "$.title")).withColumn("project", F.get_json_object("event", "$.project"))
+    return {"evidence": first_by(bodies(log, EVIDENCE), ["seq"], "ts_ms"), "events": shown, "sessions": sessions(folded, F.col("active")), "links": links(events), "checkpoints": latest_by(bodies(log, CHECKPOINT), ["provider", "sourcePath"], "seq"), "memories": memories(log)}
+
+
+def built_through(log: DataFrame, base: int = 0) -> int:
+    """The projection's watermark: the sequence number below which the log has no gap from base on. A gap
+    is an error; so is a repeated number."""
+    low, high, n, distinct = log.where(F.col("seq") >= base).agg(F.min("seq"), F.max("seq"), F.count("*"), F.count_distinct("seq")).first()
+    if not n:
+        return base
+    if low != base or high - low + 1 != n or distinct != n:
+        raise EngineError("storage_error", f"the log has a gap or a repetition between {base} and {high}")
+    return high + 1
+
+
+def status(spark: SparkSession, folder: str, as_of: int) -> DataFrame:
+    """One row: schema_version, generation, built_through, as_of, degraded (whether the log has moved on)."""
+    row = spark.read.json(f"{folder}/current.json")
+    return row.select("schema_version", "generation", "built_through", F.lit(as_of).alias("as_of"), (F.col("built_through") < as_of).alias("degraded"))
+
+
+SCHEMA_VERSION = 1
+
+
+def rebuild(log: DataFrame, folder: str, now_ms: int, previous: int = 0) -> int:
+    """Write every view under a new generation, then let current.json name it; readers see the old
+    generation until then. Returns the generation, which only grows."""
+    spark, generation, upto = log.sparkSession, max(previous + 1, now_ms), built_through(log)
+    for name, view in projection(log).items():
+        view.write.parquet(f"{folder}/generation={generation}/{name}")
+    row = spark.createDataFrame([(SCHEMA_VERSION, generation, upto)], "schema_version int, generation long, built_through long")
+    row.coalesce(1).write.mode("overwrite").json(f"{folder}/current.json")
+    return generation
+
+
+def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A stored view of the current generation."""
+    generation = spark.read.json(f"{folder}/current.json").first()["generation"]
+    return spark.read.parquet(f"{folder}/generation={generation}/{name}")
+
+
+def attach(spark: SparkSession, folder: str, prefix: str = "") -> list[str]:
+    """The current generation's views as temporary SQL views, all of one fixed log position: read only, since
+    a temporary view takes no INSERT. Returns their names."""
+    names = ["evidence", "events", "sessions", "links", "checkpoints", "memories"]
+    for name in names:
+        view(spark, folder, name).createOrReplaceTempView(prefix + name)
+    return [prefix + name for name in names]
