@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from datetime import datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -81,6 +82,18 @@ def duration_ms(text: str) -> int:
     return int(found[1]) * UNITS[found[2]]
 
 
+def time_ms(text: str) -> int:
+    """An RFC 3339 time with its zone, in milliseconds."""
+    if not re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)", text):
+        raise EngineError("parse_error", f"not a time with a zone: {text}")
+    return round(datetime.fromisoformat(text.replace("Z", "+00:00")).timestamp() * 1000)
+
+
+def before(a: Column, b: Column) -> Column:
+    """a < b as text that people read, by the root locale's collation: a, B, c."""
+    return F.collate(a, "UNICODE") < F.collate(b, "UNICODE")
+
+
 def ascii_lower(a: Column | str) -> Column:
     return F.translate(a, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.functions.identity import order_key
 from tracelake.operators import folds
 
 # The canonical event types, layers, authorities, roles and decisions.
@@ -61,7 +62,42 @@ def errors(event: str = "event") -> Column:
         "correlation": F.exists(links, lambda v: ~F.length(v).between(1, 1024)),
         "payload": ~F.coalesce(F.array_contains(keys("$"), "payload"), F.lit(False)),
     }
-    return F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks.items()]))
+    return F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in (checks | _by_type(e, text)).items()]))
+
+
+def _by_type(e: Column, text: Column) -> dict[str, Column]:
+    """What each event type asks of its links and payload."""
+    kind, link = e["type"], e["correlation"]
+    at = lambda path: F.get_json_object(text, f"$.payload.{path}")
+    starts = lambda prefix: F.coalesce(kind.startswith(prefix), F.lit(False))
+    said = lambda c, known: F.coalesce(~c.isin(known), F.lit(False))
+    lacks = lambda prefix, value: starts(prefix) & F.coalesce(F.length(value) == 0, F.lit(True))
+    return {
+        "message id": lacks("message.", link["messageId"]),
+        "tool call id": lacks("tool.", link["toolCallId"]),
+        "run id": lacks("run.", link["runId"]),
+        "turn id": lacks("turn.", link["turnId"]),
+        "approval id": lacks("approval.", at("approvalId")),
+        "client action id": lacks("action.", link["clientActionId"]),
+        "role": starts("message.") & said(F.coalesce(at("message.role"), at("role")), [*ROLES, "toolResult"]),
+        "run state": (kind == "run.settled") & said(at("state"), SETTLED),
+        "decision": (kind == "approval.resolved") & ~F.coalesce(at("decision").isin(DECISIONS), F.lit(False)),
+        "summary": (kind == "approval.requested") & at("summary").isNull(),
+        "result id": starts("tool.") & F.coalesce(link["toolResultId"] != F.coalesce(at("toolResultId"), link["toolResultId"]), F.lit(False)),
+        "call id": starts("tool.") & F.coalesce(link["toolCallId"] != F.coalesce(at("toolCallId"), link["toolCallId"]), F.lit(False)),
+    }
+
+
+def linkage_errors(messages_of: DataFrame, tools_of: DataFrame) -> DataFrame:
+    """Tool links that contradict each other: session, tool_call_id, error. A call has one result id, a result
+    message names a call that exists, and both name the same result."""
+    calls = tools_of.select("session", F.col("id").alias("tool_call_id"), "tool_result_id")
+    results = messages_of.where((F.col("role") == "tool") & F.col("tool_call_id").isNotNull()).select("session", "tool_call_id", F.col("tool_result_id").alias("said"))
+    met = results.join(calls, ["session", "tool_call_id"], "left").join(calls.select("session", "tool_call_id", F.lit(True).alias("known")), ["session", "tool_call_id"], "left")
+    several = results.groupBy("session", "tool_call_id").agg(F.count_distinct("said").alias("n")).where("n > 1")
+    differs = met.where("known AND tool_result_id IS NOT NULL AND said <> tool_result_id")
+    named = lambda df, error: df.select("session", "tool_call_id", F.lit(error).alias("error"))
+    return named(met.where("known IS NULL"), "result of an unknown call").union(named(several, "several results of a call")).union(named(differs, "call and result differ")).distinct()
 
 
 def has(path: str) -> Column:
@@ -196,3 +232,50 @@ def exported(messages_of: DataFrame) -> DataFrame:
 def _quoted(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.coalesce(F.when(c.isNotNull(), F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")), F.lit("null"))
+
+
+# Exports: canonical blocks back to a harness's own, a line a record, with what could not be said.
+
+BLOCKS = "array<struct<type string, text string, toolCallId string, name string, arguments string, content string, isError boolean, signature string>>"
+
+
+def _json(**fields: Column) -> Column:
+    """An object of JSON text; values that are null are left out."""
+    parts = [F.when(v.isNotNull(), F.concat(F.lit(f'"{k}":'), v)) for k, v in fields.items()]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def codex_item(block: Column, role: Column) -> Column:
+    """A canonical block as a response item, in JSON; null for what that harness can't hold."""
+    plain = _json(type=F.lit('"message"'), role=_quoted(role), content=F.concat(F.lit('[{"type":"'), F.when(role == "assistant", "output_text").otherwise("input_text"), F.lit('","text":'), _quoted(block["text"]), F.lit("}]")))
+    thought = _json(type=F.lit('"reasoning"'), summary=F.concat(F.lit('[{"type":"summary_text","text":'), _quoted(block["text"]), F.lit("}]")))
+    call = _json(type=F.lit('"function_call"'), name=_quoted(block["name"]), arguments=_quoted(F.coalesce(block["arguments"], F.lit("{}"))), call_id=_quoted(block["toolCallId"]))
+    result = _json(type=F.lit('"function_call_output"'), call_id=_quoted(block["toolCallId"]), output=_quoted(F.coalesce(block["content"], F.lit(""))))
+    return F.when(block["type"] == "text", plain).when(block["type"] == "thinking", thought).when(block["type"] == "tool-call", call).when(block["type"] == "tool-result", result)
+
+
+def exported_codex(messages_of: DataFrame, runs_of: DataFrame, cwd: str = "/") -> DataFrame:
+    """session, place, line, lost: a session's rollout. First session_meta; for each run a turn_context, its
+    messages' items in order, and at last how the run ended. `lost` names a block that has no item."""
+    runs_in = runs_of.select("session", F.col("id").alias("run_id"), F.col("started_ms").alias("run_order"), F.col("state").alias("run_state"))
+    line = lambda kind, payload: _json(type=_quoted(F.lit(kind)), payload=payload)
+    none = F.lit(None).cast("string")
+    meta = runs_in.groupBy("session").agg(F.min("run_order").alias("run_order")).select("session", F.lit(-1).cast("long").alias("run_order"), F.lit("").alias("run_id"), F.lit(0).alias("step"), F.lit(0).cast("long").alias("order"), F.lit("").alias("id"), F.lit(0).alias("block"), line("session_meta", _json(id=_quoted("session"), cwd=_quoted(F.lit(cwd)))).alias("line"), none.alias("lost"))
+    context = runs_in.select("session", "run_order", "run_id", F.lit(1).alias("step"), F.lit(0).cast("long").alias("order"), F.lit("").alias("id"), F.lit(0).alias("block"), line("turn_context", _json(cwd=_quoted(F.lit(cwd)))).alias("line"), none.alias("lost"))
+    every = messages_of.select("session", F.coalesce("run_id", F.lit("")).alias("run_id"), "order", "id", "role", F.posexplode(F.from_json("content", BLOCKS)).alias("block", "b"))
+    every = every.join(runs_in, ["session", "run_id"], "left")
+    item = codex_item(F.col("b"), F.col("role"))
+    items = every.select("session", F.coalesce("run_order", F.lit(0).cast("long")).alias("run_order"), "run_id", F.lit(2).alias("step"), "order", "id", "block", F.when(item.isNotNull(), line("response_item", item)).alias("line"), F.when(item.isNull(), F.col("b.type")).alias("lost"))
+    ends = runs_in.where("run_state = 'cancelled'").select("session", "run_order", "run_id", F.lit(3).alias("step"), F.lit(0).cast("long").alias("order"), F.lit("").alias("id"), F.lit(0).alias("block"), line("event_msg", F.lit('{"type":"turn_aborted"}')).alias("line"), none.alias("lost"))
+    rows = meta.unionByName(context).unionByName(items).unionByName(ends)
+    window = Window.partitionBy("session").orderBy("run_order", "run_id", "step", "order", "id", "block")
+    return rows.select("session", F.row_number().over(window).alias("place"), "line", "lost")
+
+
+def exported_rows(messages_of: DataFrame) -> dict[str, DataFrame]:
+    """A session's rows of the relational harness: sessions (sessionId, createdAt, updatedAt) and messages
+    (messageId, sessionId, role, parts, orderKey), whose keys sort as the messages do."""
+    place = F.row_number().over(Window.partitionBy("session").orderBy("order", "id"))
+    rows = messages_of.select(F.col("id").alias("messageId"), F.col("session").alias("sessionId"), "role", F.coalesce("content", F.lit("[]")).alias("parts"), order_key(F.col("created_ms"), F.lit(0)).alias("_k"), place.alias("_p"), F.col("created_ms").alias("createdAt"), F.col("updated_ms").alias("updatedAt"))
+    keyed = rows.withColumn("orderKey", F.concat(F.lpad(F.col("_p").cast("string"), 10, "0"), F.lit("-"), "_k")).drop("_k", "_p")
+    return {"sessions": keyed.groupBy("sessionId").agg(F.min("createdAt").alias("createdAt"), F.max("updatedAt").alias("updatedAt")), "messages": keyed}

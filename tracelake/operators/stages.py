@@ -6,12 +6,56 @@ import hashlib
 import json
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tracelake.errors import EngineError
+from tracelake.functions.predicates import duration_ms, time_ms
 
 MOST_ROWS = 1000
+API_VERSION = "1"
+# The parameter types, and what stands for them in Python.
+TYPES = {"string": str, "int": int, "double": float, "boolean": bool, "timestamp": int, "duration": int, "list": list}
+
+
+def bound(parameters: dict, declared: dict[str, str]) -> dict[str, Column | list]:
+    """Parameters of a query as literals. A missing one is invalid_parameter, one of another type type_error;
+    timestamps and durations may be given as text."""
+    out = {}
+    for name, kind in declared.items():
+        if name not in parameters:
+            raise EngineError("invalid_parameter", f"${name} is missing")
+        value = parameters[name]
+        if isinstance(value, str) and kind == "timestamp":
+            value = time_ms(value)
+        elif isinstance(value, str) and kind == "duration":
+            value = duration_ms(value)
+        if not isinstance(value, TYPES[kind]) or (isinstance(value, bool) and kind != "boolean"):
+            raise EngineError("type_error", f"${name} is no {kind}")
+        out[name] = value if kind == "list" else F.lit(value)
+    return out
+
+
+def fresh(watermarks: dict[str, int], required: list[str], target: int | None = None) -> int:
+    """Up to where a query may read: the least of the watermarks it needs. A target beyond that is not
+    there yet, which a caller may try again."""
+    upto = min(watermarks[name] for name in required)
+    if target is not None and upto < target:
+        raise EngineError("snapshot_changed", f"indexed through {upto}, not {target}", retryable=True)
+    return upto
+
+
+# The logical sources of a query, and the columns that name their rows.
+SOURCES = {"sessions": ("session",), "events": ("seq",), "messages": ("session", "id"), "tools": ("session", "id"), "chunks": ("chunk",), "runs": ("session", "id"), "turns": ("session", "id"), "approvals": ("session", "id"), "memories": ("memoryId",), "edges": ("edge_id",)}
+
+
+def source(tables: dict[str, DataFrame], name: str, seq: str | None = None, as_of: int | None = None) -> Rows:
+    """`from`: a query over one of the logical sources that are at hand."""
+    if name not in SOURCES:
+        raise EngineError("parse_error", f"no source {name}")
+    if name not in tables:
+        raise EngineError("unsupported_capability", f"source {name} is not at hand")
+    return Rows.of(tables[name], *SOURCES[name], seq=seq, as_of=as_of)
 
 
 @dataclass(frozen=True)
@@ -23,10 +67,23 @@ class Result:
     query_hash: str
     warnings: list[str]
     stages: list[tuple[str, DataFrame]] = field(repr=False)
+    counts: list[Observation] = field(default_factory=list, repr=False)
+    watermarks: dict[str, int] = field(default_factory=dict)
+    api_version: str = API_VERSION
 
     def explain(self) -> list[dict]:
-        """Rows after each stage. This counts, so it runs the query's stages."""
-        return [{"stage": name, "rows": df.count()} for name, df in self.stages]
+        """Rows into and out of each stage. Of a counted query (Rows.counted) all are seen in one run of it;
+        else each stage is counted by a run of its own."""
+        if self.counts:
+            self.rows.write.format("noop").mode("overwrite").save()
+            out = [c.get["rows"] for c in self.counts]
+        else:
+            out = [df.count() for _, df in self.stages]
+        return [{"stage": name, "in": before, "out": n, "rows": n} for (name, _), before, n in zip(self.stages, [None, *out], out)]
+
+    def envelope(self) -> dict:
+        """All but the rows."""
+        return {"apiVersion": self.api_version, "queryHash": self.query_hash, "asOfSeq": self.as_of, "watermarks": self.watermarks, "warnings": self.warnings}
 
 
 @dataclass(frozen=True)
@@ -40,6 +97,15 @@ class Rows:
     limited: bool = False
     projected: tuple[tuple[str, str], ...] | None = None
     done: tuple[tuple[str, DataFrame], ...] = ()
+    counts: tuple[Observation, ...] = ()
+    grouped: tuple[str, ...] | None = None
+
+    def counted(self) -> Rows:
+        """From here on each stage counts its rows as they pass, for explain(). Counting keeps filters from
+        moving below it, so ask for it only to explain."""
+        seen = Observation()
+        df = self.df.observe(seen, F.count(F.lit(1)).alias("rows"))
+        return replace(self, df=df, done=self.done[-1:], counts=(seen,))
 
     @classmethod
     def of(cls, df: DataFrame, *identity: str, seq: str | None = None, as_of: int | None = None) -> Rows:
@@ -49,6 +115,9 @@ class Rows:
         return cls(df, identity, as_of, done=(("from", df),))
 
     def _then(self, stage: str, df: DataFrame, **changes) -> Rows:
+        if self.counts:
+            seen = Observation()
+            df, changes = df.observe(seen, F.count(F.lit(1)).alias("rows")), {**changes, "counts": (*self.counts, seen)}
         return replace(self, df=df, done=(*self.done, (stage, df)), **changes)
 
     def _order(self) -> list[Column]:
@@ -65,6 +134,17 @@ class Rows:
         found = F.coalesce(F.lower(F.col(text)).contains(query.lower()), F.lit(False))
         return self._then("search", self.df.where(found if evidence is None else evidence & found))
 
+    def group_by(self, *keys: str) -> Rows:
+        """summarize() must follow; then only keys and aggregates are seen, in order of the keys."""
+        if missing := [k for k in keys if k not in self.df.columns]:
+            raise EngineError("unknown_field", missing[0])
+        return replace(self, grouped=keys)
+
+    def summarize(self, **aggregates: Column) -> Rows:
+        keys = self.grouped or ()
+        df = self.df.groupBy(*keys).agg(*[a.alias(name) for name, a in aggregates.items()])
+        return self._then("summarize", df, identity=keys, keys=(), projected=None, grouped=None)
+
     def sort_by(self, *keys: tuple[str, str]) -> Rows:
         for name, way in keys:
             if name not in self.df.columns:
@@ -93,9 +173,9 @@ class Rows:
         df = df.orderBy(*self._order())
         return df if self.projected is None else df.select(*[F.col(c).alias(name) for name, c in self.projected])
 
-    def result(self) -> Result:
+    def result(self, watermarks: dict[str, int] | None = None) -> Result:
         warnings = []
         if not self.limited and len(self.df.limit(MOST_ROWS + 1).select(*self.identity).take(MOST_ROWS + 1)) > MOST_ROWS:
             warnings.append("implicit_limit")
         plan = json.dumps([[name for name, _ in self.done], self.keys, self.projected, self.as_of], sort_keys=True)
-        return Result(self.rows(), self.as_of, hashlib.sha256(plan.encode()).hexdigest(), warnings, list(self.done))
+        return Result(self.rows(), self.as_of, hashlib.sha256(plan.encode()).hexdigest(), warnings, list(self.done), list(self.counts), watermarks or {})
