@@ -180,16 +180,18 @@ def test_windows_stream_like_batch(spark, tmp_path):
 def test_follow_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     path = tmp_path / "in" / "a.jsonl"
-    reader = follow.FollowReader({"path": str(tmp_path / "in"), "maxBytesPerTrigger": "12"})
+    reader = follow.FollowReader({"path": f"file://{tmp_path}/in", "maxBytesPerTask": "5"})
+    read = lambda start, end: [r[1:] for p in reader.partitions(start, end) for r in reader.read(p)]
     path.write_bytes(b'{"a":1}\n{"b":2}\n{"c"')
-    first, at = reader.read(reader.initialOffset())
-    second, at2 = reader.read(at)
-    assert [r[1:3] for r in first] == [(0, 8)] and [r[3] for r in second] == ['{"b":2}']
-    assert list(reader.read(at2)[0]) == [] and [r[3] for r in reader.readBetweenOffsets(at, at2)] == ['{"b":2}']
+    at = reader.latestOffset()
+    assert list(at.values()) == [20] and read(reader.initialOffset(), at) == [(0, 8, '{"a":1}'), (8, 16, '{"b":2}')]
+    path.write_bytes(b'{"a":1}\n{"b":2}\n{"c":3}\n')
+    at2 = reader.latestOffset()
+    assert read(at, at2) == [(16, 24, '{"c":3}')] and read(at2, at2) == []
     path.write_bytes(b'{"n":1}\n')  # shorter: read anew
-    assert [r[3] for r in reader.read(at2)[0]] == ['{"n":1}']
+    assert read(at2, reader.latestOffset()) == [(0, 8, '{"n":1}')]
     spark.dataSource.register(follow.Follow)
-    query = spark.readStream.format("follow_lines").load(str(tmp_path / "in")).writeStream.format("memory").queryName("followed").option("checkpointLocation", str(tmp_path / "cp")).start()
+    query = spark.readStream.format("follow_lines").load(f"file://{tmp_path}/in").writeStream.format("memory").queryName("followed").option("checkpointLocation", str(tmp_path / "cp")).start()
     try:
         query.processAllAvailable()
         with path.open("ab") as f:

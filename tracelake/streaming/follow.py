@@ -1,70 +1,94 @@
-"""Files that grow, as a stream: finished lines only, each with its byte range."""
+"""Files that grow, as a stream: finished lines only, each with its byte range.
+
+The driver lists files and their sizes, nothing else; an offset is a size a file. Tasks read the bytes, a
+range each. A line belongs to the range in which its line feed lies: a reader looks back for the line's
+start, so a line is read once, however ranges and batches cut it, and an unfinished line waits for its line
+feed. A file that is shorter than before is read anew from 0.
+
+Files are listed and read with pyarrow.fs: a folder may be local, HDFS, S3 or GCS.
+"""
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 SCHEMA = "path string, byte_start bigint, byte_end bigint, raw string"
-MOST_BATCH = 16 << 20
-
+RANGE, BACK = 16 << 20, 1 << 16
+
+
+@dataclass
+class Range(InputPartition):
+    path: str
+    start: int
+    end: int
+
+
+def finished(file, start: int, end: int) -> Iterator[tuple[int, int, str]]:
+    """byte_start, byte_end and text of the lines whose line feed lies in [start, end)."""
+    data, at = file.read_at(end - start, start), start
+    last = data.rfind(b"\n")
+    if last < 0:
+        return
+    data = data[: last + 1]
+    while at:  # back to the line feed before
+        step = min(BACK, at)
+        before = file.read_at(step, at - step)
+        cut = before.rfind(b"\n")
+        data, at = before[cut + 1 :] + data, at - step + cut + 1 if cut >= 0 else at - step
+        if cut >= 0:
+            break
+    for line in data.split(b"\n")[:-1]:
+        after = at + len(line) + 1
+        if line.strip():
+            yield at, after, line.removesuffix(b"\r").decode()
+        at = after
+
+
+class FollowReader(DataSourceStreamReader):
+    def __init__(self, options: dict):
+        self.folder, self.suffix = options["path"], options.get("suffix", ".jsonl")
+        self.range = int(options.get("maxBytesPerTask", RANGE))
 
-class FollowReader(SimpleDataSourceStreamReader):
-    """The offset is a byte position a file. A file shorter than its position is read anew from 0."""
+    def _system(self):
+        from pyarrow import fs
 
-    def __init__(self, options: dict):
-        self.folder = options["path"]
-        self.most = int(options.get("maxBytesPerTrigger", MOST_BATCH))
+        return fs.FileSystem.from_uri(self.folder)
 
     def initialOffset(self) -> dict:
         return {}
 
-    def _paths(self) -> list[str]:
-        return sorted(os.path.join(d, f) for d, _, names in os.walk(self.folder) for f in names if f.endswith(".jsonl"))
-
-    def _lines(self, path: str, start: int, end: int | None, most: int) -> tuple[list[tuple], int]:
-        with open(path, "rb") as f:
-            f.seek(start)
-            data = f.read(most if end is None else end - start)
-            if end is None and b"\n" not in data:  # one line that is longer than a batch
-                data += f.readline()
-        rows, at = [], start
-        for line in data[: data.rfind(b"\n") + 1].split(b"\n")[:-1]:
-            nxt = at + len(line) + 1
-            if line.strip():
-                rows.append((path, at, nxt, line.removesuffix(b"\r").decode()))
-            at = nxt
-        return rows, at
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, end, left = [], dict(start), self.most
-        for path in self._paths():
-            at = start.get(path, 0)
-            size = os.path.getsize(path)
-            at = 0 if size < at else at
-            if size > at and left > 0:
-                found, at = self._lines(path, at, None, left)
-                left -= sum(b - a for _, a, b, _ in found)
-                rows += found
-            end[path] = at
-        return iter(rows), end
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+    def latestOffset(self) -> dict:
+        from pyarrow import fs
+
+        system, inner = self._system()
+        found = system.get_file_info(fs.FileSelector(inner, recursive=True))
+        return {f.path: f.size for f in found if f.is_file and f.path.endswith(self.suffix)}
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        out = []
         for path, upto in sorted(end.items()):
             at = start.get(path, 0)
-            if upto < at:
-                at = 0
-            if upto > at:
-                yield from self._lines(path, at, upto, 0)[0]
+            at = 0 if upto < at else at
+            out += [Range(path, a, min(a + self.range, upto)) for a in range(at, upto, self.range)]
+        return out or [Range("", 0, 0)]
+
+    def read(self, partition: Range) -> Iterator[tuple]:
+        if partition.end > partition.start:
+            system, _ = self._system()
+            with system.open_input_file(partition.path) as file:
+                for at, after, raw in finished(file, partition.start, partition.end):
+                    yield partition.path, at, after, raw
 
     def commit(self, end: dict) -> None:
         pass
 
 
 class Follow(DataSource):
-    """spark.readStream.format("follow_lines").load(folder), after spark.dataSource.register(Follow)."""
+    """spark.readStream.format("follow_lines").load(folder), after spark.dataSource.register(Follow). Options:
+    suffix of the files' names, maxBytesPerTask."""
 
     @classmethod
     def name(cls) -> str:
@@ -73,5 +97,5 @@ class Follow(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def simpleStreamReader(self, schema) -> FollowReader:
+    def streamReader(self, schema) -> FollowReader:
         return FollowReader(self.options)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,16 +25,26 @@ def then_within(events: DataFrame, key: str, a: Column, b: Column, within_ms: in
     rows = events.select(F.col(key).cast("string").alias("key"), "seq", "ts_ms", a.alias("is_a"), b.alias("is_b")).where("is_a or is_b")
 
     def run(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seqs, times = map(list, state.get) if state.exists else ([], [])
-        waiting, found = list(zip(seqs, times)), []
-        for row in pd.concat(list(frames)).sort_values("seq").itertuples():
-            if row.is_b:
-                found += [(name[0], s, row.seq, row.ts_ms - t) for s, t in waiting if row.ts_ms - t <= within_ms]
-                waiting = []
-            waiting = [(s, t) for s, t in waiting if row.ts_ms - t <= within_ms]
-            if row.is_a:
-                waiting.append((row.seq, row.ts_ms))
-        state.update(([int(s) for s, _ in waiting], [int(t) for _, t in waiting]))
-        yield pd.DataFrame(found, columns=["key", "a", "b", "gap_ms"])
+        seqs, times = state.get if state.exists else ([], [])
+        new = pd.concat(list(frames))
+        parts = [pd.DataFrame({"seq": seqs, "ts": times, "b": False}, dtype="int64")]
+        parts += [pd.DataFrame({"seq": x["seq"], "ts": x["ts_ms"], "b": b}) for x, b in ((new[new["is_b"]], True), (new[new["is_a"]], False))]
+        rows = pd.concat(parts).sort_values(["seq", "b"], ascending=[True, False], ignore_index=True)
+        is_b = rows["b"].to_numpy(bool)
+        closes = np.cumsum(is_b) - is_b  # rows up to and with one B
+        ts, seq = rows["ts"].to_numpy("int64"), rows["seq"].to_numpy("int64")
+        # The latest time of the As behind a row and before its B: once past the bound, the row waits no more.
+        least = np.iinfo("int64").min
+        back = pd.Series(np.where(is_b, least, ts)[::-1]).groupby(closes[::-1])
+        later = back.cummax().groupby(closes[::-1]).shift(1, fill_value=least).to_numpy()[::-1]
+        waits = ~is_b & (later <= ts + within_ms)
+        at_b = np.flatnonzero(is_b)
+        matched = np.flatnonzero(waits & (closes < len(at_b)))
+        to = at_b[closes[matched]]
+        near = ts[to] - ts[matched] <= within_ms
+        matched, to = matched[near], to[near]
+        left = waits & (closes == len(at_b))
+        state.update((seq[left].tolist(), ts[left].tolist()))
+        yield pd.DataFrame({"key": name[0], "a": seq[matched], "b": seq[to], "gap_ms": ts[to] - ts[matched]})
 
     return rows.groupBy("key").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
