@@ -7,10 +7,10 @@ XXH64 of what remains.
 2. The directory doubles while a bucket has over CAPACITY keys: an overfull bucket splits by the key's
    next leading bit, as deep as it takes. The driver holds a depth for each value of the first LEADING
    bits, 65,536 at most, however many buckets there are. The directory is stored beside the buckets.
-3. Each text goes to the owner task of its bucket, a range of keys, where texts meet by key and bytes:
+3. Each text goes to the task that owns its part of a bucket, a range of keys, where texts meet by key and bytes:
    the group-by there compares whole normalised texts. Keys of over HOT rows are combined where they are
    read and only then sent, so a text that a third of all rows repeat is a row a task.
-4. The owner chains the different texts of one key (chain 0, 1, ...) and writes a file for each bucket.
+4. The bucket's owner chains the different texts of one key (chain 0, 1, ...) and writes the bucket's file.
 5. Entries look their text up by bucket, key and SHA-256; lookup() of other documents opens only the
    buckets that these fall in.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.common import BLANKS, broadcast_if_small, new_path, partitions, texts, written
 
-CAPACITY, LEADING, DEEPEST, HOT = 1 << 14, 16, 62, 1 << 12
+CAPACITY, LEADING, DEEPEST, HOT, PARTS = 1 << 14, 16, 62, 1 << 12, 5
 INDEX = "key long, chain int, text_sha256 binary, group_size long, keep_id long, keep_points int, bucket long"
 
 
@@ -42,13 +42,15 @@ def _first_bits(key: str, depth: Column | int) -> Column:
     return F.call_function("shiftrightunsigned", F.shiftrightunsigned(key, 1), (63 - depth).cast("int"))
 
 
-def bucket_of(key: str, depths: list[int]) -> Column:
+def bucket_of(key: str, depths: list[int], deeper: int = 0) -> Column:
     """A bucket of depth d has the number 2^d + the first d bits of its keys. depths: one for each slot,
-    which is the value of the first bits, as many as the list's length takes."""
+    which is the value of the first bits, as many as the list's length takes. deeper: instead of the bucket
+    the part of it that so many further bits name."""
     if len(depths) == 1 and not depths[0]:
-        return F.lit(1).cast("long")
+        return _first_bits(key, deeper) + (1 << deeper)
     table = F.split(F.lit(" ".join(map(str, depths))), " ").cast("array<int>")
     depth = F.element_at(table, (_first_bits(key, len(depths).bit_length() - 1) + 1).cast("int"))
+    depth = F.least(depth + deeper, F.lit(DEEPEST)) if deeper else depth
     return _first_bits(key, depth) + F.call_function("shiftleft", F.lit(1).cast("long"), depth)
 
 
@@ -108,16 +110,16 @@ def build_index(docs: DataFrame, counts: DataFrame, path: str, capacity: int = C
     depths = directory(counts.select("key"), capacity)
     spark.createDataFrame(list(enumerate(depths)), "slot int, depth int").coalesce(1).write.parquet(f"{path}/directory")
     whole = texts(docs).select("doc_id", normalised("text").alias("norm"), F.char_length("text").alias("points"))
-    whole = whole.select("*", F.xxhash64("norm").alias("key")).withColumn("bucket", bucket_of("key", depths))
+    whole = whole.select("*", F.xxhash64("norm").alias("key")).withColumn("bucket", bucket_of("key", depths)).withColumn("owned", bucket_of("key", depths, PARTS))
     often = broadcast_if_small(counts.where(F.col("n") > hot).select("key"))
     best = F.max(F.struct("points", F.bitwise_not("doc_id").alias("not_id"))).alias("best")  # ~ turns the order of ids
 
     def met(rows: DataFrame) -> DataFrame:  # by bytes
-        one = rows.groupBy("bucket", "key", "norm").agg(F.count("*").alias("group_size"), best)
+        one = rows.groupBy("owned", "bucket", "key", "norm").agg(F.count("*").alias("group_size"), best)
         return one.select("bucket", "key", F.unhex(F.sha2("norm", 256)).alias("text_sha256"), "group_size", F.bitwise_not("best.not_id").alias("keep_id"), F.col("best.points").alias("keep_points"))
 
     n = partitions(spark)
-    owned = met(whole.join(often, "key", "left_anti").repartition(n, "bucket"))
+    owned = met(whole.join(often, "key", "left_anti").repartition(n, "owned"))
     both = owned.unionByName(met(whole.join(often, "key", "left_semi"))).repartition(n, "bucket")
     chain = Window.partitionBy("bucket", "key").orderBy("text_sha256")
     chained = both.withColumn("chain", F.row_number().over(chain) - 1)
