@@ -194,9 +194,12 @@ def _lines(spark, sf, raw: Column, head: Column | None = None) -> DataFrame:
     return rows.unionByName(m.select("session").distinct().select(path, zero(10_000, "length"), zero(0, "line"), zero(0, "byte_start"), zero(900, "byte_end"), head.alias("raw")))
 
 
-_ID = F.concat(F.lit("s"), F.col("session"))
-_SEQ = F.col("seq").cast("string")
-_CONTENT = F.array(F.struct(F.lit("text").alias("type"), F.col("text")))
+def _id() -> Column:
+    return F.concat(F.lit("s"), F.col("session"))
+
+
+def _content() -> Column:
+    return F.array(F.struct(F.lit("text").alias("type"), F.col("text")))
 
 
 @query(
@@ -204,8 +207,8 @@ _CONTENT = F.array(F.struct(F.lit("text").alias("type"), F.col("text")))
     T.MSG,
 )
 def provider_claude(spark, sf):
-    message = F.struct(F.when(F.col("role") == "assistant", F.concat(F.lit("a"), "session")).alias("id"), "role", _CONTENT.alias("content"))
-    raw = F.to_json(F.struct(F.col("role").alias("type"), F.concat(F.lit("u"), "seq").alias("uuid"), _ID.alias("sessionId"), F.col("turn").alias("timestamp"), message.alias("message")))
+    message = F.struct(F.when(F.col("role") == "assistant", F.concat(F.lit("a"), "session")).alias("id"), "role", _content().alias("content"))
+    raw = F.to_json(F.struct(F.col("role").alias("type"), F.concat(F.lit("u"), "seq").alias("uuid"), _id().alias("sessionId"), F.col("turn").alias("timestamp"), message.alias("message")))
     got = providers.claude(_lines(spark, sf, raw))
     content = F.coalesce(providers.at("$.message.content", "event"), providers.at("$.entry.message.content", "event"))
     said = F.array_join(F.transform(F.from_json(content, "array<struct<text string>>"), lambda b: b["text"]), "|")
@@ -219,7 +222,7 @@ def provider_claude(spark, sf):
 def provider_codex(spark, sf):
     kind = F.when(F.col("role") == "system", "turn_context").otherwise("response_item")
     payload = F.struct(F.when(F.col("role") == "user", "message").when(F.col("role") == "assistant", "reasoning").alias("type"), F.when(F.col("role") == "assistant", F.concat(F.lit("r"), "seq")).alias("id"), F.when(F.col("role") == "system", F.col("turn")).alias("turn"))
-    head = F.to_json(F.struct(F.lit("session_meta").alias("type"), F.struct(_ID.alias("id")).alias("payload")))
+    head = F.to_json(F.struct(F.lit("session_meta").alias("type"), F.struct(_id().alias("id")).alias("payload")))
     got = providers.codex(_lines(spark, sf, F.to_json(F.struct(kind.alias("type"), payload.alias("payload"))), head))
     return got.select("native_session_id", "native_identity", "event_type", providers.at("$.turnContext.turn", "event").cast("long").alias("context"))
 
@@ -227,8 +230,8 @@ def provider_codex(spark, sf):
 @query("SELECT 's' || session AS native_session_id, 'p' || seq AS native_identity, CASE role WHEN 'assistant' THEN 'tool.completed' ELSE 'message.created' END AS event_type, turn AS timestamp_ms FROM msg UNION ALL SELECT DISTINCT 's' || session, 's' || session, 'session.started', 0 FROM msg", T.MSG)
 def provider_pi(spark, sf):
     role = F.when(F.col("role") == "assistant", "toolResult").otherwise(F.col("role"))
-    raw = F.to_json(F.struct(F.lit("message").alias("type"), F.concat(F.lit("p"), "seq").alias("id"), F.col("turn").cast("string").alias("timestamp"), F.struct(role.alias("role"), _CONTENT.alias("content")).alias("message")))
-    head = F.to_json(F.struct(F.lit("session").alias("type"), _ID.alias("id")))
+    raw = F.to_json(F.struct(F.lit("message").alias("type"), F.concat(F.lit("p"), "seq").alias("id"), F.col("turn").cast("string").alias("timestamp"), F.struct(role.alias("role"), _content().alias("content")).alias("message")))
+    head = F.to_json(F.struct(F.lit("session").alias("type"), _id().alias("id")))
     return providers.pi(_lines(spark, sf, raw, head)).select("native_session_id", "native_identity", "event_type", "timestamp_ms")
 
 
@@ -237,7 +240,7 @@ def provider_deepseek_partials(spark, sf):
     chunk = F.struct(F.lit("text-delta").alias("type"), F.col("text"))
     raw = F.when(F.col("role") == "assistant", F.to_json(F.struct(F.lit("assistant/chunk").alias("type"), "seq", F.struct(F.lit("m").alias("messageId"), chunk.alias("chunk")).alias("data"))))
     raw = F.coalesce(raw, F.to_json(F.struct(F.lit("user/message").alias("type"), "seq", F.struct(F.col("text")).alias("data"))))
-    head = F.to_json(F.struct(F.lit("session").alias("type"), _ID.alias("id")))
+    head = F.to_json(F.struct(F.lit("session").alias("type"), _id().alias("id")))
     got = providers.deepseek(_lines(spark, sf, raw, head)).where("event_type = 'message.partial'")
     return got.select("native_session_id", providers.at("$.content[0].text", "event").alias("said"))
 
@@ -292,9 +295,9 @@ def _envelopes(spark, sf) -> DataFrame:
     run = F.concat(F.lit("r"), "session").alias("runId")
 
     def event(rows, kind, name, links, payload):
-        return rows.select("session", "seq", F.to_json(F.struct(F.lit("1.0").alias("schemaVersion"), F.concat(F.lit(name), "seq").alias("eventId"), F.lit(kind).alias("type"), _ID.alias("sessionId"), at.alias("timestamp"), origin.alias("source"), F.lit("authoritative").alias("authority"), F.lit(1.0).alias("confidence"), F.struct(*links).alias("correlation"), payload.alias("payload"))).alias("event"))
+        return rows.select("session", "seq", F.to_json(F.struct(F.lit("1.0").alias("schemaVersion"), F.concat(F.lit(name), "seq").alias("eventId"), F.lit(kind).alias("type"), _id().alias("sessionId"), at.alias("timestamp"), origin.alias("source"), F.lit("authoritative").alias("authority"), F.lit(1.0).alias("confidence"), F.struct(*links).alias("correlation"), payload.alias("payload"))).alias("event"))
 
-    message = F.struct(F.struct("role", _CONTENT.alias("content")).alias("message"), F.col("turn").alias("messageIndex"))
+    message = F.struct(F.struct("role", _content().alias("content")).alias("message"), F.col("turn").alias("messageIndex"))
     said = event(m, "message.completed", "m", [run, F.concat(F.lit("m"), "seq").alias("messageId")], message)
     call = F.struct(F.lit("grep").alias("toolName"), F.struct("turn").alias("args"), (F.col("turn") % 3 == 0).alias("isError"))
     tools = event(m.where("role = 'assistant'"), "tool.completed", "t", [run, F.concat(F.lit("t"), "seq").alias("toolCallId")], call)
@@ -357,7 +360,7 @@ def searchable_texts(spark, sf):
 @query("SELECT 'm' || seq AS event_id, 'message.completed' AS event_type, false AS has_evidence FROM msg", T.MSG)
 def canonical_events(spark, sf):
     e = _envelopes(spark, sf).where("event LIKE '%message.completed%'")
-    log = e.select("seq", _ID.alias("session_id"), F.lit(241).cast("short").alias("kind"), F.lit(0).cast("long").alias("ts_ms"), F.col("event").cast("binary").alias("body"))
+    log = e.select("seq", _id().alias("session_id"), F.lit(241).cast("short").alias("kind"), F.lit(0).cast("long").alias("ts_ms"), F.col("event").cast("binary").alias("body"))
     return L.canonical(log).select("event_id", "event_type", "has_evidence")
 
 
