@@ -58,7 +58,7 @@ def test_order_and_limits(spark, few):
     assert e.value.code == "unknown_field"
     many = Rows.of(spark.range(1500), "id").result()
     assert many.warnings == ["implicit_limit"] and many.rows.count() == 1000
-    assert rows.limit(1).result().warnings == [] and rows.where(F.col("id") > 2).result().explain()[1] == {"stage": "where", "rows": 2}
+    assert rows.limit(1).result().warnings == [] and rows.where(F.col("id") > 2).result().explain()[1] == {"stage": "where", "in": 4, "rows": 2}
 
 
 def test_snapshot_is_fixed(spark):

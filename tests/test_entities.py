@@ -23,7 +23,7 @@ def table(spark, events):
 
 def test_envelopes(spark):
     good = ev("message.completed", messageId="m")
-    cases = {"": good, "unexpected key": good | {"more": 1}, "schema/type": good | {"type": "other"}, "identity": good | {"timestamp": "never"}, "revision": good | {"entityRevision": -1}, "source": good | {"source": {"layer": "L9", "adapter": "a", "authenticated": True}}, "authority": good | {"authority": "me"}, "confidence": good | {"confidence": 2}, "payload": {k: v for k, v in good.items() if k != "payload"}, "correlation": good | {"correlation": {"runId": ""}}}
+    cases = {"": good, "unexpected key": good | {"more": 1}, "schema/type": good | {"type": "other"}, "identity": good | {"timestamp": "never"}, "revision": good | {"entityRevision": -1}, "source": good | {"source": {"layer": "L9", "adapter": "a", "authenticated": True}}, "authority": good | {"authority": "me"}, "confidence": good | {"confidence": 2}, "payload": {k: v for k, v in good.items() if k != "payload"}, "correlation": good | {"correlation": {"messageId": "m", "runId": ""}}, "message id": good | {"correlation": {"runId": "r"}}, "role": good | {"payload": {"message": {"role": "nobody"}}}}
     got = [r.e for r in table(spark, cases.values()).select(E.errors().alias("e")).collect()]
     assert [",".join(e) for e in got] == list(cases)
     assert "json" in spark.createDataFrame([("{oops",)], "event string").select(E.errors().alias("e")).first().e

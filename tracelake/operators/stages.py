@@ -79,7 +79,7 @@ class Result:
             out = [c.get["rows"] for c in self.counts]
         else:
             out = [df.count() for _, df in self.stages]
-        return [{"stage": name, "in": before, "out": n, "rows": n} for (name, _), before, n in zip(self.stages, [None, *out], out)]
+        return [{"stage": name, "in": before, "rows": n} for (name, _), before, n in zip(self.stages, [None, *out], out)]
 
     def envelope(self) -> dict:
         """All but the rows."""

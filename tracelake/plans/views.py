@@ -132,8 +132,8 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def attach(spark: SparkSession, folder: str, prefix: str = "") -> list[str]:
     """The current generation's views as temporary SQL views, all of one fixed log position: read only, since
-    a temporary view takes no INSERT. Returns their names."""
+    a view that is more than a bare file relation takes no INSERT. Returns their names."""
     names = ["evidence", "events", "sessions", "links", "checkpoints", "memories"]
     for name in names:
-        view(spark, folder, name).createOrReplaceTempView(prefix + name)
+        view(spark, folder, name).where(F.lit(True)).createOrReplaceTempView(prefix + name)
     return [prefix + name for name in names]
