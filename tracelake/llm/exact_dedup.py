@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.common import BLANKS, broadcast_if_small, new_path, partitions, texts, written
 
-CAPACITY, LEADING, DEEPEST, HOT, PARTS = 1 << 14, 16, 62, 1 << 12, 5
+CAPACITY, LEADING, DEEPEST, HOT, PARTS = 1 << 14, 16, 62, 1 << 9, 8
 INDEX = "key long, chain int, text_sha256 binary, group_size long, keep_id long, keep_points int, bucket long"
 
 
