@@ -12,21 +12,30 @@ from tracelake.functions.predicates import ascii_lower
 K1, B, RRF, SHORT_SCAN = 1.2, 0.75, 60, 10_000
 
 
+def phrase_length(text: str) -> Column:
+    """A text's length in trigrams, repeats included."""
+    return F.greatest(F.length(text) - 2, F.lit(0)).cast("double")
+
+
+def bm25(text: Column, phrase: str, n: Column, mean: Column, hits: Column) -> Column:
+    """The score of a text that holds the lower-case phrase, among n texts of `mean` trigrams of which `hits` hold it."""
+    low = F.lower(text)
+    tf = ((F.length(low) - F.length(F.replace(low, F.lit(phrase), F.lit("")))) / len(phrase)).cast("double")
+    length = F.greatest(F.length(text) - 2, F.lit(0)).cast("double")
+    idf = F.greatest(F.log((n - hits + 0.5) / (hits + 0.5)), F.lit(1e-6))
+    return -(idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean)))
+
+
 def phrase_hits(df: DataFrame, text: str, phrase: str) -> DataFrame:
     """Rows that hold the phrase (three characters or more, any case) with `score`: BM25 over character
     trigrams, negated so that lower is better. The corpus's figures are a scalar subquery: one row."""
     if len(phrase) < 3:
         raise EngineError("invalid_parameter", "a ranked phrase has three characters or more")
-    low, q = F.lower(F.col(text)), phrase.lower()
-    length = F.greatest(F.length(text) - 2, F.lit(0)).cast("double")
-    found = F.coalesce(low.contains(q), F.lit(False))
-    stats = df.agg(F.count("*").cast("double").alias("n"), F.avg(length).alias("mean"), F.count_if(found).cast("double").alias("hits"))
+    q = phrase.lower()
+    found = F.coalesce(F.lower(F.col(text)).contains(q), F.lit(False))
+    stats = df.agg(F.count("*").cast("double").alias("n"), F.avg(phrase_length(text)).alias("mean"), F.count_if(found).cast("double").alias("hits"))
     one = lambda c: stats.select(c).scalar()
-    tf = ((F.length(low) - F.length(F.replace(low, F.lit(q), F.lit("")))) / len(q)).cast("double")
-    hits = df.where(found).withColumn("_tf", tf).withColumn("_length", length)
-    idf = F.greatest(F.log((one("n") - one("hits") + 0.5) / (one("hits") + 0.5)), F.lit(1e-6))
-    score = -(idf * F.col("_tf") * (K1 + 1) / (F.col("_tf") + K1 * (1 - B + B * F.col("_length") / one("mean"))))
-    return hits.withColumn("score", score).drop("_tf", "_length")
+    return df.where(found).withColumn("score", bm25(F.col(text), q, one("n"), one("mean"), one("hits")))
 
 
 def short_hits(df: DataFrame, text: str, query: str, seq: str) -> DataFrame:

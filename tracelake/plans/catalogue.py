@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import identity as I
 from tracelake.functions import predicates as P
-from tracelake.operators import aggregates, entities, folds, graph, ingest, joins, search, sequences
+from tracelake.operators import aggregates, entities, folds, graph, ingest, joins, search, sequences, text_index
 from tracelake.operators.stages import Rows
 from tracelake.plans import bindings as T
 from tracelake.plans import access, fixed, views
 from tracelake.sources import log as L
 from tracelake.sources.providers import typed
+from tracelake.sources.stored import folder
 from tracelake.streaming import windows
 from tracelake.streaming.replay import prefix, tail
 
@@ -199,6 +200,14 @@ def search_bm25_phrase(spark, sf):
     return search.phrase_hits(T.ch(spark, sf), "text", "tion").select("chunk", "session", _r(F.col("score") * 1e6, 4).alias("score"))
 
 
+@query(BM25 + " SELECT chunk, round(score * 1e6, 4) AS score FROM scored", T.CH)
+def search_indexed_phrase(spark, sf):
+    rows, root = T.ch(spark, sf), folder(spark)
+    text_index.build(rows.where("chunk % 10 <> 3"), root, "chunk", "text", 1, 0, buckets=16, parts=16)
+    index = text_index.opened(spark, root)
+    return text_index.phrase_hits(spark, index, "tion", rows.where("chunk % 10 = 3")).select("chunk", _r(F.col("score") * 1e6, 4).alias("score"))
+
+
 @query("SELECT chunk, lang, source FROM ch WHERE contains(lower(text), 'on th') AND lang = 'en' AND source = 'src0' ORDER BY chunk LIMIT 1000", T.CH)
 def search_multi_filters(spark, sf):
     rows = Rows.of(T.ch(spark, sf), "chunk").where(P.both(P.eq(F.col("lang"), "en"), P.eq(F.col("source"), "src0")))

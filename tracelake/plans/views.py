@@ -81,16 +81,51 @@ def memories(log: DataFrame) -> DataFrame:
     return last.withColumn("status", status[F.col("action")])
 
 
+def _identified(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The log's events, each id once, and its visibility controls, with the keys that both share."""
+    keys = [F.col("sourcePath").alias("source_path"), F.col("sourceGeneration").alias("generation")]
+    return first_by(bodies(log, EVENT), ["eventId"], "seq").select("*", *keys), bodies(log, VISIBILITY).select("seq", "provider", *keys)
+
+
+def _folded(shown: DataFrame) -> DataFrame:
+    rows = shown.withColumn("session", F.col("session_id")).withColumn("native_session_id", F.col("nativeSessionId"))
+    rows = rows.withColumn("title", F.get_json_object("event", "$.title")).withColumn("project", F.get_json_object("event", "$.project"))
+    return sessions(rows, F.col("active"))
+
+
 def projection(log: DataFrame) -> dict[str, DataFrame]:
     """All views of one log, the whole rebuild as plans: dedup before supersede, then visibility."""
-    keys = [F.col("sourcePath").alias("source_path"), F.col("sourceGeneration").alias("generation")]
-    events = first_by(bodies(log, EVENT), ["eventId"], "seq").select("*", *keys)
-    controls = bodies(log, VISIBILITY).select("seq", "provider", *keys)
+    events, controls = _identified(log)
     named = superseded(events, [*SOURCE, "nativeIdentity"])
     shown = visible(named, controls, SOURCE).withColumn("active", F.col("current") & F.col("visible"))
-    folded = shown.withColumn("session", F.col("session_id")).withColumn("native_session_id", F.col("nativeSessionId"))
-    folded = folded.withColumn("title", F.get_json_object("event", "$.title")).withColumn("project", F.get_json_object("event", "$.project"))
-    return {"evidence": first_by(bodies(log, EVIDENCE), ["seq"], "ts_ms"), "events": shown, "sessions": sessions(folded, F.col("active")), "links": links(events), "checkpoints": latest_by(bodies(log, CHECKPOINT), ["provider", "sourcePath"], "seq"), "memories": memories(log)}
+    return {"evidence": first_by(bodies(log, EVIDENCE), ["seq"], "ts_ms"), "events": shown, "sessions": _folded(shown), "links": links(events), "checkpoints": latest_by(bodies(log, CHECKPOINT), ["provider", "sourcePath"], "seq"), "memories": memories(log)}
+
+
+def advanced(old: dict[str, DataFrame], log: DataFrame) -> dict[str, DataFrame]:
+    """The views after more records: `old` are the views before them, `log` the records since. What the old
+    part of the log held is taken from its views, so it is not parsed again.
+
+    A later event of an identity ends the old ones' being current; a later control hides all old events of
+    its source generation. No old control reaches the new events, which all come after it."""
+    events, controls = _identified(log)
+    events = events.join(old["events"].select("eventId"), "eventId", "left_anti")
+    keys = [*SOURCE, "nativeIdentity"]
+    added = visible(superseded(events, keys), controls, SOURCE).withColumn("active", F.col("current") & F.col("visible"))
+    renamed = events.select(*keys).distinct().withColumn("_newer", F.lit(True))
+    hidden = controls.select(*SOURCE).distinct().withColumn("_hidden", F.lit(True))
+    same = lambda ks, side: [F.col(f"e.{k}").eqNullSafe(F.col(f"{side}.{k}")) for k in ks]
+    before = old["events"].alias("e").join(renamed.alias("n"), same(keys, "n"), "left").join(hidden.alias("h"), [F.col(f"e.{k}") == F.col(f"h.{k}") for k in SOURCE], "left").select("e.*", "_newer", "_hidden")
+    before = before.withColumn("current", F.col("current") & F.col("_newer").isNull()).withColumn("visible", F.col("visible") & F.col("_hidden").isNull())
+    before = before.withColumn("active", F.col("current") & F.col("visible")).drop("_newer", "_hidden")
+    shown = before.unionByName(added)
+    return {
+        "evidence": old["evidence"].unionByName(first_by(bodies(log, EVIDENCE), ["seq"], "ts_ms")),
+        "events": shown,
+        "sessions": _folded(shown),
+        "links": old["links"].unionByName(links(events)),
+        "checkpoints": latest_by(old["checkpoints"].unionByName(bodies(log, CHECKPOINT)), ["provider", "sourcePath"], "seq"),
+        "memories": latest_by(old["memories"].unionByName(memories(log)), ["memoryId"], F.struct("revision", -F.col("seq"))),
+    }
 
 
 def built_through(log: DataFrame, base: int = 0) -> int:
@@ -111,17 +146,36 @@ def status(spark: SparkSession, folder: str, as_of: int) -> DataFrame:
 
 
 SCHEMA_VERSION = 1
+VIEWS = ["evidence", "events", "sessions", "links", "checkpoints", "memories"]
 
 
 def rebuild(log: DataFrame, folder: str, now_ms: int, previous: int = 0) -> int:
     """Write every view under a new generation, then let current.json name it; readers see the old
     generation until then. Returns the generation, which only grows."""
     spark, generation, upto = log.sparkSession, max(previous + 1, now_ms), built_through(log)
-    for name, view in projection(log).items():
-        view.write.parquet(f"{folder}/generation={generation}/{name}")
+    _write(spark, projection(log), folder, generation, upto)
+    return generation
+
+
+def catch_up(log: DataFrame, folder: str, now_ms: int) -> int:
+    """Bring the stored views to the end of the log: only records from the watermark on are read, and the
+    result is a new generation. Without new records the generation stays. A gap is an error."""
+    spark = log.sparkSession
+    now = spark.read.json(f"{folder}/current.json").first()
+    upto = built_through(log, now.built_through)
+    if upto == now.built_through:
+        return now.generation
+    old = {name: spark.read.parquet(f"{folder}/generation={now.generation}/{name}") for name in VIEWS}
+    generation = max(now.generation + 1, now_ms)
+    _write(spark, advanced(old, log.where(F.col("seq") >= now.built_through)), folder, generation, upto)
+    return generation
+
+
+def _write(spark: SparkSession, made: dict[str, DataFrame], folder: str, generation: int, upto: int) -> None:
+    for name, table in made.items():
+        table.write.parquet(f"{folder}/generation={generation}/{name}")
     row = spark.createDataFrame([(SCHEMA_VERSION, generation, upto)], "schema_version int, generation long, built_through long")
     row.coalesce(1).write.mode("overwrite").json(f"{folder}/current.json")
-    return generation
 
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -133,7 +187,6 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def attach(spark: SparkSession, folder: str, prefix: str = "") -> list[str]:
     """The current generation's views as temporary SQL views, all of one fixed log position: read only, since
     a view that is more than a bare file relation takes no INSERT. Returns their names."""
-    names = ["evidence", "events", "sessions", "links", "checkpoints", "memories"]
-    for name in names:
+    for name in VIEWS:
         view(spark, folder, name).where(F.lit(True)).createOrReplaceTempView(prefix + name)
-    return [prefix + name for name in names]
+    return [prefix + name for name in VIEWS]

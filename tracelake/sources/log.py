@@ -3,6 +3,7 @@ by (session_id, seq) so that row groups can be passed over."""
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -29,6 +30,17 @@ def get(log: DataFrame, session_id, seq: int, session: str = "session_id") -> Da
     return log.where((F.col(session) == session_id) & (F.col("seq") == seq))
 
 
+def raw_session(log: DataFrame, session_id: str, from_seq: int = 0, most: int = MOST_SNAPSHOT) -> DataFrame:
+    """All records of one session by seq. An id that is not 64 lower-case hex digits is an error, and so are
+    more than `most` records."""
+    if not re.fullmatch("[0-9a-f]{64}", session_id):
+        raise EngineError("invalid_parameter", "a session id has 64 lower-case hex digits")
+    rows = scan(log, session_id, from_seq)
+    if log.where((F.col("session_id") == session_id) & (F.col("seq") >= from_seq)).limit(most + 1).count() > most:
+        raise EngineError("resource_limit", f"the session has over {most} records")
+    return rows
+
+
 def session_ids(log: DataFrame, session: str = "session_id") -> DataFrame:
     return log.select(session).distinct().orderBy(session)
 
