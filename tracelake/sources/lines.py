@@ -49,6 +49,27 @@ def files(spark: SparkSession, *paths: str, glob: str = "*") -> DataFrame:
     return rows.select("path", "length", F.col("modificationTime").alias("modified"), "content")
 
 
+def opened(path: str):
+    """A file of any file system, for reading in a task."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_stream(inner, compression=None)
+
+
+def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for path, length in zip(frame["path"], frame["length"]):  # a file a batch
+            with opened(path) as file:
+                yield pd.DataFrame({"path": [path], "length": [length], "content": [file.read()]})
+
+
+def contents(found: DataFrame) -> DataFrame:
+    """path, length, content: read by the task that has the path, so that filters and joins on paths come
+    first and no content is shuffled."""
+    return found.select("path", "length").mapInPandas(_read, "path string, length long, content binary")
+
+
 def lines(found: DataFrame) -> DataFrame:
     """The finished, non-blank lines of files: path, length, line, byte_start, byte_end, raw."""
     bounded = found.where(F.when(F.col("length") > MOST_FILE, F.raise_error(F.concat(F.lit("resource_limit: too large: "), "path")).cast("boolean")).otherwise(True))
