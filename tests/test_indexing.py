@@ -34,8 +34,9 @@ def test_index_and_reconcile(spark, tmp_path):
     assert indexing.reconcile(spark, "claude", found(), folder, 6) == 5  # nothing changed
     with open(src / "s1.jsonl", "a") as f:
         f.write(turn("s1", 2, "three") + '{"unfinished')
-    assert indexing.reconcile(spark, "claude", found(), folder, 7) == 7
-    assert view("events").where("active").count() == 13
+    assert indexing.append(spark, "claude", found(), folder, 7) == 30 + 3  # evidence, event, checkpoint
+    assert view("events").where("active").count() == 12  # as stored
+    assert views.fresh(indexing.log(spark, folder), f"{folder}/views")[0]["events"].where("active").count() == 13
     (src / "s2.jsonl").write_text(turn("s2", 9, "other"))
     gone = view("checkpoints").where(F.col("sourcePath").endswith("s3.jsonl")).select("provider", F.col("sourcePath").alias("path"), "generation")
     (src / "s3.jsonl").unlink()

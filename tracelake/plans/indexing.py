@@ -98,17 +98,22 @@ def index(spark: SparkSession, provider: str, found: DataFrame, folder: str, now
     return views.rebuild(log(spark, folder), f"{folder}/views", now_ms)
 
 
-def reconcile(spark: SparkSession, provider: str, found: DataFrame, folder: str, now_ms: int, retracted: DataFrame | None = None) -> int:
-    """Bring log and views up to the sources in found; others stay as they are, so a tick passes hot sources
-    alone. retracted (provider, path, generation): sources that ingest.gone() gives up. Without a change
-    nothing is written and the generation stays."""
-    now = spark.read.json(f"{folder}/views/current.json").first()
-    old = views.view(spark, f"{folder}/views", "checkpoints")
-    points = old.select("provider", F.col("sourcePath").alias("path"), "generation", F.col("snapshotLength").alias("length"), "chunks", F.lit(None).cast("long").alias("missing_since"))
+def append(spark: SparkSession, provider: str, found: DataFrame, folder: str, now_ms: int, retracted: DataFrame | None = None) -> int:
+    """Bring the log up to the sources in found; others stay as they are, so a tick passes hot sources alone.
+    retracted (provider, path, generation): sources that ingest.gone() gives up. Without a change nothing is
+    written. Returns the next sequence number; views.fresh() sees the new records at once."""
+    old, base = views.fresh(log(spark, folder), f"{folder}/views")
+    points = old["checkpoints"].select("provider", F.col("sourcePath").alias("path"), "generation", F.col("snapshotLength").alias("length"), "chunks", F.lit(None).cast("long").alias("missing_since"))
     plan = stored(ingest.reconcile(points, inventory(provider, found, points)))
     if plan.where(F.col("change") != "unchanged").isEmpty() and (retracted is None or retracted.isEmpty()):
-        return now.generation
-    known = views.view(spark, f"{folder}/views", "events").select(F.col("eventId").alias("event_id"))
-    base = now.built_through
-    records(provider, plan, known, base, now_ms, retracted).write.mode("overwrite").parquet(f"{folder}/log/batch={base}")
+        return base
+    known = old["events"].select(F.col("eventId").alias("event_id"))
+    made = records(provider, plan, known, base, now_ms, retracted)
+    made.write.mode("overwrite").parquet(f"{folder}/log/batch={base}")
+    return views.built_through(log(spark, folder), base)
+
+
+def reconcile(spark: SparkSession, provider: str, found: DataFrame, folder: str, now_ms: int, retracted: DataFrame | None = None) -> int:
+    """append(), then the stored views' catch-up. Without a change the generation stays."""
+    append(spark, provider, found, folder, now_ms, retracted)
     return views.catch_up(log(spark, folder), f"{folder}/views", now_ms)

@@ -171,6 +171,16 @@ def catch_up(log: DataFrame, folder: str, now_ms: int) -> int:
     return generation
 
 
+def fresh(log: DataFrame, folder: str) -> tuple[dict[str, DataFrame], int]:
+    """The views at the end of the log, and the next sequence number: what is stored and, as plans, what the
+    records since make of it. Readers need not wait for a catch-up, which is for when the tail has grown."""
+    spark = log.sparkSession
+    now = spark.read.json(f"{folder}/current.json").first()
+    old = {name: spark.read.parquet(f"{folder}/generation={now.generation}/{name}") for name in VIEWS}
+    upto = built_through(log, now.built_through)
+    return (old if upto == now.built_through else advanced(old, log.where(F.col("seq") >= now.built_through))), upto
+
+
 def _write(spark: SparkSession, made: dict[str, DataFrame], folder: str, generation: int, upto: int) -> None:
     for name, table in made.items():
         table.write.parquet(f"{folder}/generation={generation}/{name}")
