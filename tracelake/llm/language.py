@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import broadcast_if_small, id_crc
+from tracelake.llm.common import id_crc
 from tracelake.llm.tokens import slices
 
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 256, (2, 3, 4), 16, 12
 SAMPLE, TRAIN_WINDOWS, WINDOWS = 1500, 6000, 60_000
+# Parts that a language is dealt over, and the most bytes of a broadcast side.
+SALTS, MOST_BROADCAST = 256, 8 << 20
 PAD = 256
 PLACES = WINDOW - max(WIDTHS) + 1  # of every filter in a window
 
@@ -127,6 +129,15 @@ def held_out():
     return (id_crc(F.col("doc_id")) % 4 == 2).alias("held_out")
 
 
+def _lowest(rows: DataFrame, sample: int, *order: str) -> DataFrame:
+    """The `sample` lowest rows of each language, with place. Each language is first dealt over SALTS parts,
+    which keep their own lowest, so no task reads all rows of a hot language."""
+    over = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    parts = rows.withColumn("salt", F.spark_partition_id() % SALTS)
+    few = parts.withColumn("place", over("lang", "salt")).where(F.col("place") <= sample).drop("salt", "place")
+    return few.withColumn("place", over("lang")).where(F.col("place") <= sample)
+
+
 def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[Network | None, list[str]]:
     """The network and its languages, in alphabetical order."""
     fold = docs.where("lang is not null and text is not null").where(~held_out())
@@ -139,10 +150,10 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[Network | None, list[s
     windows = max(1, min(TRAIN_WINDOWS, WINDOWS // len(langs)))
     sample = min(sample, windows)
     # The hash up to which a language's rows are taken: its sample-th lowest. What ties there is cut below.
-    place = lambda *order: F.row_number().over(Window.partitionBy("lang").orderBy(*order)).alias("place")
-    lowest = rows.select("lang", "h", place("h")).where(F.col("place") <= sample)
+    lowest = _lowest(rows.select("lang", "h"), sample, "h")
     bounds = counts.join(lowest.groupBy("lang").agg(F.max("h").alias("bound")), "lang")
-    near = rows.join(broadcast_if_small(bounds), "lang").where(F.col("h") <= F.col("bound"))
+    # A row a language, counted above: broadcast, so that texts need no shuffle, unless there are too many.
+    near = rows.join(F.broadcast(bounds) if sum(24 + len(x.encode()) for x in langs) <= MOST_BROADCAST else bounds, "lang").where(F.col("h") <= F.col("bound"))
     chosen = near.withColumn("per", F.greatest(F.lit(1), F.lit(windows) / F.least("n", F.lit(sample))).cast("int"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +165,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[Network | None, list[s
             yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "h": batch.column("h"), "w": pa.array(kept, pa.binary())})
 
     picked = chosen.select("lang", "text", "h", "per").mapInArrow(pick, "lang string, h long, w binary")
-    table = picked.select("lang", "w", place("h", "w")).where(F.col("place") <= sample).toArrow().sort_by([("lang", "ascending"), ("place", "ascending")])
+    table = _lowest(picked, sample, "h", "w").select("lang", "w", "place").toArrow().sort_by([("lang", "ascending"), ("place", "ascending")])
     parts = [np.frombuffer(w, "<i2").reshape(-1, WINDOW) for w in table.column("w").to_pylist()]
     if not parts:
         return None, langs
