@@ -5,8 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.errors import EngineError
@@ -67,18 +68,15 @@ class Result:
     query_hash: str
     warnings: list[str]
     stages: list[tuple[str, DataFrame]] = field(repr=False)
-    counts: list[Observation] = field(default_factory=list, repr=False)
     watermarks: dict[str, int] = field(default_factory=dict)
     api_version: str = API_VERSION
 
     def explain(self) -> list[dict]:
-        """Rows into and out of each stage. Of a counted query (Rows.counted) all are seen in one run of it;
-        else each stage is counted by a run of its own."""
-        if self.counts:
-            self.rows.write.format("noop").mode("overwrite").save()
-            out = [c.get["rows"] for c in self.counts]
-        else:
-            out = [df.count() for _, df in self.stages]
+        """Rows into and out of each stage. One query counts all of them, each from the source on with only the
+        columns it needs. Nothing is counted in passing: a limit above would stop short of the last row, and a
+        stage that is found empty is planned away with its counter."""
+        counts = [df.groupBy().agg(F.count(F.lit(1)).alias("rows")).select(F.lit(i).alias("i"), "rows") for i, (_, df) in enumerate(self.stages)]
+        out = [r["rows"] for r in sorted(reduce(DataFrame.union, counts).collect())]
         return [{"stage": name, "in": before, "rows": n} for (name, _), before, n in zip(self.stages, [None, *out], out)]
 
     def envelope(self) -> dict:
@@ -97,15 +95,11 @@ class Rows:
     limited: bool = False
     projected: tuple[tuple[str, str], ...] | None = None
     done: tuple[tuple[str, DataFrame], ...] = ()
-    counts: tuple[Observation, ...] = ()
     grouped: tuple[str, ...] | None = None
 
     def counted(self) -> Rows:
-        """From here on each stage counts its rows as they pass, for explain(). Counting keeps filters from
-        moving below it, so ask for it only to explain."""
-        seen = Observation()
-        df = self.df.observe(seen, F.count(F.lit(1)).alias("rows"))
-        return replace(self, df=df, done=self.done[-1:], counts=(seen,))
+        """From here on each stage is explained; what lies before counts as one."""
+        return replace(self, done=self.done[-1:])
 
     @classmethod
     def of(cls, df: DataFrame, *identity: str, seq: str | None = None, as_of: int | None = None) -> Rows:
@@ -115,9 +109,6 @@ class Rows:
         return cls(df, identity, as_of, done=(("from", df),))
 
     def _then(self, stage: str, df: DataFrame, **changes) -> Rows:
-        if self.counts:
-            seen = Observation()
-            df, changes = df.observe(seen, F.count(F.lit(1)).alias("rows")), {**changes, "counts": (*self.counts, seen)}
         return replace(self, df=df, done=(*self.done, (stage, df)), **changes)
 
     def _order(self) -> list[Column]:
@@ -178,4 +169,4 @@ class Rows:
         if not self.limited and len(self.df.limit(MOST_ROWS + 1).select(*self.identity).take(MOST_ROWS + 1)) > MOST_ROWS:
             warnings.append("implicit_limit")
         plan = json.dumps([[name for name, _ in self.done], self.keys, self.projected, self.as_of], sort_keys=True)
-        return Result(self.rows(), self.as_of, hashlib.sha256(plan.encode()).hexdigest(), warnings, list(self.done), list(self.counts), watermarks or {})
+        return Result(self.rows(), self.as_of, hashlib.sha256(plan.encode()).hexdigest(), warnings, list(self.done), watermarks or {})
