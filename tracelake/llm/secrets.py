@@ -9,9 +9,10 @@ base span already covers is not repeated. A line that is a key and one unquoted
 gives all of that word; what looks like a call, a list or a type does not count. A statement goes on over
 line ends behind =, :, + and in the bracket behind an =, up to a line that assigns.
 
-The lexer takes time in proportion to the text: a quote that nothing closes is tried once a line, a value
-ends at the second `:` or `=` behind its name, and what a name stands for is kept up to VALUE characters and
-PARTS literals. A name that stands for more is not followed; its literals count under their own targets.
+The lexer takes time in proportion to the text: a quote that nothing closes is tried once a line, and a value
+ends at the second `:` or `=` behind its name. However many literals a name stands for, and however long they
+are together, all are followed: a value is kept as the parts it is made of, and its score needs only the counts
+of its characters (what is joined adds them) and its ends.
 
 Positions are code points, ends exclusive. Null text is the empty text, which has no spans; repeated rows
 are scanned one by one; a null doc_id stays null; an empty table gives no rows.
@@ -23,9 +24,11 @@ import math
 import re
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from decimal import MAX_EMAX, MIN_EMIN, Context, Decimal
 from functools import lru_cache
-from itertools import accumulate, islice
+from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,7 +61,7 @@ TOKEN = re.compile(
 )
 #: What closes a string behind its opening quote. Strings of one quote end on their line.
 CLOSE = {q: re.compile(rf"(?:[^{q}\\\n]|\\.)*+{q}") for q in "\"'`"} | {3 * q: re.compile(rf"(?s:[^{q}\\]|\\.|{q}(?!{q}{q}))*+{3 * q}") for q in "\"'"}
-VALUE, PARTS, PREFIXES = 4096, 64, {"r", "b", "f", "u", "br", "rb", "fr", "rf"}
+PREFIXES = {"r", "b", "f", "u", "br", "rb", "fr", "rf"}
 #: First words of functions that read rather than set.
 READERS = {"get", "read", "load", "fetch", "find", "has", "is", "check", "validate", "verify", "parse", "require", "lookup", "delete", "remove", "env", "test", "assert", "print", "log"}
 NAME = re.compile(r"[^\W\d][\w.$-]*\Z")
@@ -82,21 +85,123 @@ def name_words(name: str) -> list[str]:
     return [w for w in re.split(r"[\W_]+|\s", split.lower()) if w]
 
 
-def score(name: str, value: str) -> float:
-    """0 to about 1.5: the target's name counts most, then length and mixture of the literal."""
-    if len(value) < 6 or len(name) > 200:
-        return 0.0
+@lru_cache(10_000)
+def weight(name: str) -> float:
+    """How much a target's name says that its value is secret, 0 to 1."""
     words = name_words(name)
     joined = "".join(words)
     target = min(1.0, sum(SENSITIVE.get(w, 0) for w in words) or max((v for k, v in SENSITIVE.items() if len(k) > 5 and k in joined), default=0))
-    if not target or words[-1] in HARMLESS or PLACEHOLDER.match(value) or any(map(str.isspace, value.strip())):
+    return 0.0 if not target or words[-1] in HARMLESS else target
+
+
+class Look(NamedTuple):
+    """What a score needs of a text. counts: its characters in order of their first places; head and tail: its
+    first and last ENDS characters; gap: white space between others (then nothing else is needed)."""
+
+    counts: dict[str, Decimal]
+    head: str
+    tail: str
+    gap: bool
+
+
+ENDS, GAP = 32, Look({}, "", "", True)
+#: Doubled names count more characters than any machine number holds; ratios need no more digits.
+COUNTS = Context(prec=40, Emax=MAX_EMAX, Emin=MIN_EMIN, traps=[])
+
+
+def look(text: str) -> Look:
+    if any(map(str.isspace, text.strip())):
+        return GAP
+    return Look({c: Decimal(n) for c, n in Counter(text).items()}, text[:ENDS], text[-ENDS:], False)
+
+
+def joined_look(parts: list[Look]) -> Look:
+    """Of the texts behind each other."""
+    solid = blank = False  # characters so far, and white space behind them
+    for x in parts:
+        full = not all(map(str.isspace, x.counts))
+        if x.gap or (full and solid and (blank or x.head[0].isspace())):
+            return GAP
+        if full:
+            solid, blank = True, x.tail[-1].isspace()
+        elif x.head:
+            blank = solid
+    counts: dict[str, Decimal] = {}
+    times = Counter(map(id, parts))
+    for x in {id(x): x for x in parts}.values():
+        for c, n in x.counts.items():
+            counts[c] = COUNTS.fma(n, times[id(x)], counts.get(c, Decimal(0)))
+    head = tail = ""
+    for x in parts:
+        if len(head) >= ENDS:
+            break
+        head += x.head
+    for x in reversed(parts):
+        if len(tail) >= ENDS:
+            break
+        tail = x.tail + tail
+    return Look(counts, head[:ENDS], tail[-ENDS:], False)
+
+
+def is_placeholder(value: Look, n: Decimal) -> bool:
+    """Of a long text the middle stands as the set of its characters, which its patterns can't tell from all."""
+    if n <= 2 * ENDS:
+        return bool(PLACEHOLDER.match(value.head + value.tail[len(value.head) + len(value.tail) - int(n) :]))
+    ends = Counter(value.head + value.tail)
+    return bool(PLACEHOLDER.match(value.head + "".join(c for c, k in value.counts.items() if k > ends[c]) + value.tail))
+
+
+def score(name: str, value: Look) -> float:
+    """0 to about 1.5: the target's name counts most, then length and mixture of the literal."""
+    n = Decimal(0)
+    for k in value.counts.values():
+        n = COUNTS.add(n, k)
+    if n < 6 or value.gap or not (target := weight(name)) or is_placeholder(value, n):
         return 0.0
-    counts = Counter(value)
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+    shares = [float(COUNTS.divide(k, n)) for k in value.counts.values()]
+    entropy = -sum(p * math.log2(p) for p in shares if p)
+    kinds = sum(any(f(c) for c in value.counts) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
     return target * (0.4 + min(entropy, 4) / 8 + kinds / 10)
 
 
+class Values:
+    """The values of a text's assignments. A value's parts are literals (start, end) and numbers of earlier values."""
+
+    def __init__(self, text: str):
+        self.text, self.parts, self.looks = text, [], {}
+
+    def add(self, parts: list[tuple[int, int] | int]) -> int:
+        self.parts.append(parts)
+        return len(self.parts) - 1
+
+    def look(self, value: int) -> Look:
+        """Each value is looked at once, after those it is made of."""
+        open_values = [value]
+        while open_values:
+            parts = self.parts[i := open_values[-1]]
+            if i not in self.looks and (first := [p for p in parts if isinstance(p, int) and p not in self.looks]):
+                open_values += first
+                continue
+            open_values.pop()
+            if i not in self.looks:
+                seen = [self.looks[p] if isinstance(p, int) else look(self.text[slice(*p)]) for p in parts]
+                self.looks[i] = seen[0] if len(seen) == 1 else joined_look(seen)
+        return self.looks[value]
+
+    def literals(self, values: Iterable[int]) -> set[tuple[int, int]]:
+        """Where all literals of these values stand."""
+        out, met = set(), set(values)
+        left = list(met)
+        while left:
+            for p in self.parts[left.pop()]:
+                if not isinstance(p, int):
+                    out.add(p)
+                elif p not in met:
+                    met.add(p)
+                    left.append(p)
+        return out
+
+
 def lexed(text: str, at: int, dead: dict[str, int]) -> tuple[list[tuple[str, int, int]], int]:
     """Tokens (kind, start, end; of a string its inside) up to the end of the line, or of the line on which
     its last string ends, and where the next line starts. dead: up to where a quote is known to open nothing."""
@@ -121,16 +226,17 @@ def lexed(text: str, at: int, dead: dict[str, int]) -> tuple[list[tuple[str, int
     return tokens, len(text)
 
 
-def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int]], str]]:
-    """(target, where its literals stand, value) of each assignment whose value is known; constants
-    that a name stands for are followed."""
-    constants: dict[str, tuple[list[tuple[int, int]], str]] = {}
+def assignments(values: Values) -> Iterator[tuple[str, int]]:
+    """(target, number of its value) of each assignment whose value is known; constants that a name stands
+    for are followed."""
+    text = values.text
+    constants: dict[str, int] = {}
     statement: list[tuple[str, int, int]] = []
     op_of = lambda t: text[t[1] : t[2]] if t[0] == "op" else ""
 
-    def value_of(tokens: list, i: int) -> tuple[list[tuple[int, int]], str] | None:
+    def value_of(tokens: list, i: int) -> int | None:
         """Of the tokens behind an assignment; None where it is not known."""
-        spans, parts, known, plus, last, typed = {}, [], True, True, None, op_of(tokens[i]) != ":"
+        parts, known, plus, last, typed = [], True, True, None, op_of(tokens[i]) != ":"
         for j in range(i + 1, len(tokens)):
             t = tokens[j]
             if t[0] == "op":
@@ -138,41 +244,33 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int]], str]]:
                     plus = True
                     continue
                 if op_of(t) == "=" and not typed:  # a typed declaration: name: type = value
-                    spans, parts, known, plus, typed = {}, [], True, True, True
+                    parts, known, plus, typed = [], True, True, True
                     continue
                 break
             if not plus and not (last and t[0] == "string" and "\n" in text[last[2] : t[1]]):
                 break  # strings on lines that follow each other are one
             plus, last, word = False, t if t[0] == "string" else None, text[t[1] : t[2]]
             if t[0] == "string":
-                spans[t[1:]] = None
-                parts.append(word)
+                parts.append(t[1:])
             elif word in constants:
-                spans.update(dict.fromkeys(constants[word][0]))
-                parts.append(constants[word][1])
+                parts.append(constants[word])
             elif "+" in word and any(map(constants.__contains__, pieces := word.split("+"))):
-                for x in islice(pieces, PARTS + 1):
-                    more, y = constants.get(x, ((), ""))
-                    spans.update(dict.fromkeys(more))
-                    parts.append(y)
-                    known = known and x in constants
+                parts += [constants[x] for x in pieces if x in constants]
+                known = known and all(map(constants.__contains__, pieces))
             elif "+" in word or any(map(str.isdigit, word)):
-                spans[t[1:]] = None
-                parts.append(word)
+                parts.append(t[1:])
             else:  # a name that stands for nothing known
                 known = False
-            if len(spans) > PARTS or len(parts) > PARTS:
-                known = False
-        return (list(spans), "".join(parts)[:VALUE]) if known and spans else None
+        return values.add(parts) if known and parts else None
 
-    def pairs(tokens: list) -> Iterator[tuple[str, list[tuple[int, int]], str]]:
+    def pairs(tokens: list) -> Iterator[tuple[str, int]]:
         for i, t in enumerate(tokens):
             if i and t[0] == "op" and op_of(t) in ASSIGNS:
                 name = text[tokens[i - 1][1] : tokens[i - 1][2]]
                 if NAME.match(name):
-                    if found := value_of(tokens, i):
+                    if (found := value_of(tokens, i)) is not None:
                         constants[name] = found
-                        yield name, *found
+                        yield name, found
                     else:
                         constants.pop(name, None)
 
@@ -190,10 +288,10 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int]], str]]:
             statement, depth = [], 0
         m = None if statement else CONFIG.match(line)
         if m and m[3] not in constants and not SOURCE.search(m[3]):
-            where = [(start + m.start(3), start + m.end(3))]
-            yield m[2], where, m[3][:VALUE]
+            found = values.add([(start + m.start(3), start + m.end(3))])
+            yield m[2], found
             if "=" not in m[3] and ":" not in m[3]:
-                constants[m[2]] = (where, m[3][:VALUE])
+                constants[m[2]] = found
         for i, t in enumerate(tokens):
             if t[0] != "end":
                 statement.append(t)
@@ -204,7 +302,7 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int]], str]]:
             if mark == "(" and i and tokens[i - 1][0] == "word" and tokens[i - 1][2] == t[1] and i + 2 < len(tokens) and tokens[i + 1][0] == "string" and text[tokens[i + 2][1]] in ",)":
                 value, name = text[tokens[i + 1][1] : tokens[i + 1][2]], text[tokens[i - 1][1] : t[1]].rpartition(".")[2]
                 if any(map(str.isdigit, value)) and (words := name_words(name)) and words[0] not in READERS:
-                    yield name, [tokens[i + 1][1:]], value[:VALUE]
+                    yield name, values.add([tokens[i + 1][1:]])
             goes_on = bool(statement) and op_of(statement[-1]) in GOES_ON
             if mark == "(" and (depth or goes_on):
                 depth += 1
@@ -227,8 +325,9 @@ def spans(text: str) -> list[tuple[int, int, str]]:
         base = sorted(found)
         starts, reach = [a for a, _, _ in base], list(accumulate((b for _, b, _ in base), max))
         covered = lambda a, b: (k := bisect_right(starts, a)) > 0 and reach[k - 1] >= b
-        scored = lru_cache(10_000)(score)
-        more = {(a, b, "literal") for name, where, value in assignments(text) if scored(name, value) >= LEAST_SCORE for a, b in where if b > a and not covered(a, b)}
+        values = Values(text)
+        secret = [v for name, v in assignments(values) if weight(name) and score(name, values.look(v)) >= LEAST_SCORE]
+        more = {(a, b, "literal") for a, b in values.literals(secret) if b > a and not covered(a, b)}
         whole, reach = [], 0
         for a, b, kind in sorted(more, key=lambda x: (x[0], -x[1])):  # a part of a longer literal is not repeated
             if b > reach:
