@@ -25,10 +25,10 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from decimal import MAX_EMAX, MIN_EMIN, Context, Decimal
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import accumulate
-from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -87,14 +87,15 @@ def name_words(name: str) -> list[str]:
 
 @lru_cache(10_000)
 def weight(name: str) -> float:
-    """How much a target's name says that its value is secret, 0 to 1."""
+    """How much a target's name says that its value is secret, 0 to 1. A literal's score is this times its mixture."""
     words = name_words(name)
     joined = "".join(words)
     target = min(1.0, sum(SENSITIVE.get(w, 0) for w in words) or max((v for k, v in SENSITIVE.items() if len(k) > 5 and k in joined), default=0))
     return 0.0 if not target or words[-1] in HARMLESS else target
 
 
-class Look(NamedTuple):
+@dataclass
+class Look:
     """What a score needs of a text. counts: its characters in order of their first places; head and tail: its
     first and last ENDS characters; gap: white space between others (then nothing else is needed)."""
 
@@ -103,6 +104,26 @@ class Look(NamedTuple):
     tail: str
     gap: bool
 
+    def is_placeholder(self, n: Decimal) -> bool:
+        """Of a long text the middle stands as the set of its characters, which the patterns can't tell from all."""
+        if n <= 2 * ENDS:
+            return bool(PLACEHOLDER.match(self.head + self.tail[len(self.head) + len(self.tail) - int(n) :]))
+        ends = Counter(self.head + self.tail)
+        return bool(PLACEHOLDER.match(self.head + "".join(c for c, k in self.counts.items() if k > ends[c]) + self.tail))
+
+    @cached_property
+    def mixture(self) -> float:
+        """0 to about 1.5, by length and mixture of characters."""
+        n = Decimal(0)
+        for k in self.counts.values():
+            n = COUNTS.add(n, k)
+        if n < 6 or self.gap or self.is_placeholder(n):
+            return 0.0
+        shares = [float(COUNTS.divide(k, n)) for k in self.counts.values()]
+        entropy = -sum(p * math.log2(p) for p in shares if p)
+        kinds = sum(any(f(c) for c in self.counts) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+        return 0.4 + min(entropy, 4) / 8 + kinds / 10
+
 
 ENDS, GAP = 32, Look({}, "", "", True)
 #: Doubled names count more characters than any machine number holds; ratios need no more digits.
@@ -143,32 +164,12 @@ def joined_look(parts: list[Look]) -> Look:
     return Look(counts, head[:ENDS], tail[-ENDS:], False)
 
 
-def is_placeholder(value: Look, n: Decimal) -> bool:
-    """Of a long text the middle stands as the set of its characters, which its patterns can't tell from all."""
-    if n <= 2 * ENDS:
-        return bool(PLACEHOLDER.match(value.head + value.tail[len(value.head) + len(value.tail) - int(n) :]))
-    ends = Counter(value.head + value.tail)
-    return bool(PLACEHOLDER.match(value.head + "".join(c for c, k in value.counts.items() if k > ends[c]) + value.tail))
-
-
-def score(name: str, value: Look) -> float:
-    """0 to about 1.5: the target's name counts most, then length and mixture of the literal."""
-    n = Decimal(0)
-    for k in value.counts.values():
-        n = COUNTS.add(n, k)
-    if n < 6 or value.gap or not (target := weight(name)) or is_placeholder(value, n):
-        return 0.0
-    shares = [float(COUNTS.divide(k, n)) for k in value.counts.values()]
-    entropy = -sum(p * math.log2(p) for p in shares if p)
-    kinds = sum(any(f(c) for c in value.counts) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    return target * (0.4 + min(entropy, 4) / 8 + kinds / 10)
-
-
 class Values:
     """The values of a text's assignments. A value's parts are literals (start, end) and numbers of earlier values."""
 
     def __init__(self, text: str):
         self.text, self.parts, self.looks = text, [], {}
+        self.literal = lru_cache(10_000)(look)
 
     def add(self, parts: list[tuple[int, int] | int]) -> int:
         self.parts.append(parts)
@@ -184,7 +185,7 @@ class Values:
                 continue
             open_values.pop()
             if i not in self.looks:
-                seen = [self.looks[p] if isinstance(p, int) else look(self.text[slice(*p)]) for p in parts]
+                seen = [self.looks[p] if isinstance(p, int) else self.literal(self.text[slice(*p)]) for p in parts]
                 self.looks[i] = seen[0] if len(seen) == 1 else joined_look(seen)
         return self.looks[value]
 
@@ -326,7 +327,7 @@ def spans(text: str) -> list[tuple[int, int, str]]:
         starts, reach = [a for a, _, _ in base], list(accumulate((b for _, b, _ in base), max))
         covered = lambda a, b: (k := bisect_right(starts, a)) > 0 and reach[k - 1] >= b
         values = Values(text)
-        secret = [v for name, v in assignments(values) if weight(name) and score(name, values.look(v)) >= LEAST_SCORE]
+        secret = [v for name, v in assignments(values) if (w := weight(name)) and w * values.look(v).mixture >= LEAST_SCORE]
         more = {(a, b, "literal") for a, b in values.literals(secret) if b > a and not covered(a, b)}
         whole, reach = [], 0
         for a, b, kind in sorted(more, key=lambda x: (x[0], -x[1])):  # a part of a longer literal is not repeated
