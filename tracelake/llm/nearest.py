@@ -9,7 +9,7 @@ is kept exactly beside the code. Vectors are centred first, which changes no dis
 2. Every vector is indexed: a row a block of vectors with packed four-bit codes.
 3. Blocks of codes are dealt to parts, blocks of queries to groups, each of HELD bytes at most on the
    average; each group of queries meets each part once, in a task that holds both. There are no more parts
-   than memory asks for, or than leaves the repeated queries at the size of the index; nothing is broadcast.
+   than memory asks for, or than leaves the repeated queries at half the index; nothing is broadcast.
 4. A query's table of 256 values for each two subspaces is summed over the codes. The RERANK best of a part
    are reranked by exact distance, and their k-th distance bounds what the part can add.
 5. Inner products in four bytes, with the most they can be off, give a lower bound of each distance. Every
@@ -227,8 +227,8 @@ def sizes(blocks: DataFrame) -> tuple[int, int]:
 
 def dealt(index_rows: int, index_bytes: int, query_bytes: int, n: int) -> tuple[int, int]:
     """Parts of the index, groups of queries. Both fit a task; beyond that there are up to n parts as long as
-    the queries, a copy a part, take no more room than the index."""
-    parts = max(-(-index_bytes // HELD), min(n, index_bytes // max(query_bytes, 1)))
+    the queries, a copy a part, take half the index's room at most."""
+    parts = max(-(-index_bytes // HELD), min(n, index_bytes // (2 * max(query_bytes, 1))))
     return max(1, min(parts, index_rows)), max(1, -(-query_bytes // HELD))
 
 
